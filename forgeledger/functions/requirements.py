@@ -8,14 +8,26 @@ from pyspark.sql import functions as F
 # Starts of lines that are options or addresses, not requirements.
 SKIPPED_STARTS = ["#", "-", "git+", "hg+", "svn+", "bzr+", "http://", "https://"]
 
-# Word characters are Unicode; everything up to ';' is the version part.
-LINE = r"(?U)^([a-zA-Z0-9][\w\-.]*)(?:\[([^\]]+)\])?([^;]+)?(?:\s*;\s*(.+))?"
+# White space and line ends as text files define them (Unicode).
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
-_SPACE = r"(?U)^\s+|\s+$"
+# Word characters are Unicode; everything up to ';' is the version part. The tail swallows
+# what the grammar leaves over, so one replacement yields all four parts.
+_GRAMMAR = r"(?U)^([a-zA-Z0-9][\w\-.]*+)(?:\[([^\]]+)\])?([^;]+)?(?:\s*;\s*(.+))?(?s:.*)$"
+_STARTS = r"^[a-zA-Z0-9]"
+_MARK = "\x01\x02\x03"
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, _SPACE, "")
+    return F.trim(text, F.lit(WHITESPACE))
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(text, LINE_ENDS)
 
 
 def is_requirement(line: Column) -> Column:
@@ -27,18 +39,25 @@ def is_requirement(line: Column) -> Column:
 
 
 def parse_line(line: Column) -> Column:
-    """struct(name, extras, version_spec, markers), or null where no name starts the line."""
+    """Array of at most one struct(name, extras, version_spec, markers) for ``F.inline``.
+
+    Empty where no name starts the line. The steps are nested array functions, so the
+    grammar runs once per line however many of its parts are used.
+    """
     text = stripped(F.element_at(F.split(line, " #"), 1))
-    extras = F.regexp_extract(text, LINE, 2)
-    return F.when(
-        text.rlike(LINE),
-        F.struct(
-            F.regexp_extract(text, LINE, 1).alias("name"),
-            F.when(extras == "", F.array().cast("array<string>"))
-            .otherwise(F.transform(F.split(extras, ","), stripped))
+    named = F.filter(F.array(text), lambda t: t.rlike(_STARTS))
+    marked = F.transform(
+        named, lambda t: F.split(F.regexp_replace(t, _GRAMMAR, _MARK.join(["$1", "$2", "$3", "$4"])), _MARK)
+    )
+    return F.transform(
+        marked,
+        lambda part: F.struct(
+            part[0].alias("name"),
+            F.when(part[1] == "", F.array().cast("array<string>"))
+            .otherwise(F.transform(F.split(part[1], ","), stripped))
             .alias("extras"),
-            stripped(F.regexp_extract(text, LINE, 3)).alias("version_spec"),
-            stripped(F.regexp_extract(text, LINE, 4)).alias("markers"),
+            stripped(part[2]).alias("version_spec"),
+            stripped(part[3]).alias("markers"),
         ),
     )
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from .grouping import order_in_group, same_keys
+from ..functions.requirements import lines_of, stripped
+from .grouping import join_null_safe, order_in_group, spread_small
 
 # File names, suffixes and report texts.
 ARCHIVE_SUFFIX = ".tar.gz"
@@ -102,14 +103,12 @@ def checksum_verify(expected: DataFrame, actual: DataFrame, key: str = "key") ->
 
 def manifest_read(files: DataFrame, text: str = "value") -> DataFrame:
     """Parsed manifests. Text that is not a JSON object is flagged and keeps its row."""
-    parsed = F.from_json(
-        F.col(text), schemas.MANIFEST + ", __corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}
-    )
     rest = [c for c in files.columns if c != text]
-    # The corrupt column also fires on a member of the wrong type; the text itself decides.
-    return files.select(*rest, F.try_parse_json(F.col(text)).isNotNull().alias("manifest_valid"), parsed.alias("manifest")).withColumn(
-        "manifest", F.when(F.col("manifest_valid"), F.col("manifest").dropFields("__corrupt"))
-    )
+    # Each text is parsed once: the generator keeps the result as one value.
+    valid = F.try_parse_json(F.col(text)).isNotNull()
+    read = F.struct(valid.alias("manifest_valid"), F.from_json(F.col(text), schemas.MANIFEST).alias("manifest"))
+    rows = spread_small(files).select(*rest, F.inline(F.array(read)))
+    return rows.withColumn("manifest", F.when(F.col("manifest_valid"), F.col("manifest")))
 
 
 def archive_verdict(archives: DataFrame, manifests: DataFrame, contents: DataFrame) -> DataFrame:
@@ -252,9 +251,7 @@ def retention(
         .agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct(mtime, key)).alias("__cut"))
         .where(F.col("__n") == max_count)
     )
-    joined = archives.join(cutoff, same_keys(archives, cutoff, store), "left").select(
-        *[archives[c] for c in archives.columns], "__cut"
-    )
+    joined = join_null_safe(archives, cutoff.drop("__n"), store, "left")
     beyond = F.coalesce(F.struct(mtime, key) < F.col("__cut"), F.lit(False))
     return joined.withColumn("delete", too_old | beyond).drop("__cut")
 
@@ -326,8 +323,8 @@ def lfs_unreferenced(objects: DataFrame, references: DataFrame, key: str = "oid"
 
 def lfs_patterns(files: DataFrame, key: str = "repo", text: str = "text") -> DataFrame:
     """Tracked patterns of attribute files, one row each, comment lines skipped."""
-    lines = files.select(key, F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("line_no", "line"))
-    line = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
+    lines = files.select(key, F.posexplode(lines_of(F.col(text))).alias("line_no", "line"))
+    line = stripped(F.col("line"))
     return (
         lines.select(key, "line_no", line.alias("line"))
         .where(~F.startswith(F.col("line"), F.lit("#")) & F.contains(F.col("line"), F.lit("filter=lfs")))

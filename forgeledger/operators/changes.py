@@ -62,7 +62,7 @@ def change_status(heads: DataFrame, state: DataFrame) -> DataFrame:
     """first_sync, unchanged or changed. ``heads`` has (repo, head), ``state`` (repo, last_commit)."""
     joined = heads.select("repo", "head").join(state.select("repo", "last_commit"), "repo", "left")
     status = (
-        F.when(F.coalesce("last_commit", F.lit("")).cast("string") == "", "first_sync")
+        F.when(F.col("last_commit").isNull() | (F.col("last_commit").cast("string") == ""), "first_sync")
         .when(F.col("last_commit") == F.col("head"), "unchanged")
         .otherwise("changed")
     )

@@ -12,7 +12,7 @@ from .. import schemas
 from ..functions import requirements as R
 from ..functions.manifests import STRUCTURED, structured_entries
 from ..functions.versions import satisfies
-from .grouping import order_in_group
+from .grouping import order_in_group, spread_small
 
 # Manifest file names per language; "*.ext" stands for any name with that ending.
 LANGUAGE_MANIFESTS = {
@@ -82,10 +82,10 @@ def requirements_parse(files: DataFrame, text: str = "text", manifest: str = "ma
     """Dependency rows of line-based manifests, with the line number each came from."""
     supported = F.lower(base_name(F.col(manifest))).isin(*LINE_MANIFESTS)
     rest = [c for c in files.columns if c != text]
-    lines = files.where(supported).select(*rest, F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("line_no", "line"))
-    parsed = lines.withColumn("line", R.stripped(F.col("line"))).where(R.is_requirement(F.col("line")))
-    parsed = parsed.select(*rest, "line_no", R.parse_line(F.col("line")).alias("dep")).where("dep is not null")
-    return parsed.select(*rest, "line_no", "dep.*")
+    kept = spread_small(files.where(supported))
+    lines = kept.select(*rest, F.posexplode(R.lines_of(F.col(text))).alias("line_no", "line"))
+    lines = lines.withColumn("line", R.stripped(F.col("line"))).where(R.is_requirement(F.col("line")))
+    return lines.select(*rest, "line_no", F.inline(R.parse_line(F.col("line"))))
 
 
 def structured_manifest_parse(
@@ -98,6 +98,7 @@ def structured_manifest_parse(
     """
     keys = list(keys)
     kept = files.where(F.lower(base_name(F.col(manifest))).isin(*STRUCTURED)).select(*keys, manifest, text)
+    kept = spread_small(kept)
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -113,18 +114,16 @@ def structured_manifest_parse(
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != text)
     rows = kept.mapInPandas(entries, f"{head}, line_no INT, entry STRING, spec STRING")
-    parsed = F.when(
-        F.col("spec").isNotNull(),
+    given = F.array(
         F.struct(
             F.col("entry").alias("name"),
             F.array().cast("array<string>").alias("extras"),
             F.col("spec").alias("version_spec"),
             F.lit("").alias("markers"),
-        ),
-    ).otherwise(R.parse_line(F.col("entry")))
-    return rows.select(*keys, manifest, "line_no", parsed.alias("dep")).where("dep is not null").select(
-        *keys, manifest, "line_no", "dep.*"
+        )
     )
+    parsed = F.when(F.col("spec").isNotNull(), given).otherwise(R.parse_line(F.col("entry")))
+    return rows.select(*keys, manifest, "line_no", F.inline(parsed))
 
 
 def dependency_distinct(dependencies: DataFrame, key: str = "repo") -> DataFrame:
@@ -158,8 +157,10 @@ def dependency_manifest(
 
 def registry_flatten(documents: DataFrame, text: str = "value") -> DataFrame:
     """Registry JSON to package rows. Of several files of a kind the last one counts."""
+    # The generator keeps the parsed document as one value; as a plain column it would be
+    # parsed again for every member below.
     doc = F.from_json(F.col(text), schemas.REGISTRY_JSON)
-    rows = documents.select(doc.alias("doc")).where("doc.info is not null")
+    rows = spread_small(documents.select(text)).select(F.explode(F.array(doc)).alias("doc")).where("doc.info is not null")
 
     def last(kind: str) -> Column:
         of_kind = F.filter(F.col("doc.urls"), lambda u: u["packagetype"] == kind)
@@ -228,11 +229,13 @@ def offline_requirements(resolved: DataFrame, order: Sequence[Column], key: str
     Lines stay rows; see ``sources.tables.write_lines`` for writing them in line order.
     """
     placed = order_in_group(resolved, [key], order)
-    body = placed.select(key, (F.col("position") + 1).alias("line_no"), F.col("filename").alias("line"))
-    header = resolved.select(key).distinct().select(
-        key, F.posexplode(F.array(F.lit(OFFLINE_HEADER), F.lit(""))).alias("line_no", "line")
-    )
-    return body.unionByName(header.withColumn("line_no", F.col("line_no").cast("long")))
+    line = F.struct((F.col("position") + 1).alias("line_no"), F.col("filename").alias("line"))
+    header = [
+        F.struct(F.lit(i).cast("long").alias("line_no"), F.lit(text).alias("line")) for i, text in enumerate([OFFLINE_HEADER, ""])
+    ]
+    # The first file of a repository brings the header lines along.
+    lines = F.when(F.col("position") == 1, F.array(*header, line)).otherwise(F.array(line))
+    return placed.select(key, F.inline(lines))
 
 
 def unresolved_dependencies(required: DataFrame, packages: DataFrame) -> DataFrame:

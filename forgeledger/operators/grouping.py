@@ -16,14 +16,35 @@ from pyspark.sql import functions as F
 from ..session import durable, max_group_rows
 
 _SLICE = "__slice"
+_SMALL_BYTES = 256 * 1024 * 1024
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on ``keys``."""
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give work that is heavy per row a task per core when its input is small.
+
+    A small table is often one row group and would be read, parsed and matched by one task.
+    The planner's size estimate decides; larger inputs have enough tasks of their own and
+    are never shuffled for this.
+    """
+    if df.isStreaming:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > _SMALL_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null. Key columns of the result are the left ones.
+
+    The right keys get names of their own, so the two sides may stem from the same table.
+    """
+    own = {key: f"__right_{i}" for i, key in enumerate(keys)}
+    renamed = right.withColumnsRenamed(own)
     condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+    for key, name in own.items():
+        condition = condition & F.col(key).eqNullSafe(F.col(name))
+    return left.join(renamed, condition, how).drop(*own.values())
 
 
 def _split_large(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
@@ -41,8 +62,7 @@ def _split_large(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame,
     if not keys:
         return df.limit(0), df
     large = F.broadcast(durable(large.select(*keys), "large-groups"))
-    on = same_keys(df, large, keys)
-    return df.join(large, on, "left_anti"), df.join(large, on, "left_semi")
+    return join_null_safe(df, large, keys, "left_anti"), join_null_safe(df, large, keys, "left_semi")
 
 
 def _slices(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -72,8 +92,8 @@ def order_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     local = sliced.withColumn(
         "__local", F.row_number().over(Window.partitionBy(*keys, _SLICE).orderBy(*order)).cast("long")
     )
-    ranked = local.join(offsets, same_keys(local, offsets, [*keys, _SLICE])).select(
-        *[local[c] for c in df.columns], (F.col("__local") + F.col("__before")).alias(name)
+    ranked = join_null_safe(local, offsets, [*keys, _SLICE]).select(
+        *df.columns, (F.col("__local") + F.col("__before")).alias(name)
     )
     return result.unionByName(ranked)
 
@@ -103,8 +123,8 @@ def with_previous(
     tails = local.where("__is_last").select(*keys, _SLICE, F.struct(*names).alias("__tail"))
     step = Window.partitionBy(*keys).orderBy(_SLICE)
     carried = F.broadcast(tails.select(*keys, _SLICE, F.lag("__tail").over(step).alias("__carry")))
-    joined = local.join(carried, same_keys(local, carried, [*keys, _SLICE]), "left").select(
-        *[local[c] for c in df.columns], F.coalesce("__lag", "__carry").alias("__prev")
+    joined = join_null_safe(local, carried, [*keys, _SLICE], "left").select(
+        *df.columns, F.coalesce("__lag", "__carry").alias("__prev")
     )
     return result.unionByName(
         joined.select(*df.columns, *[F.col("__prev")[c].alias(n) for c, n in columns.items()])

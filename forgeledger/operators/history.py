@@ -102,8 +102,7 @@ def reach(history: History, heads: DataFrame, max_rounds: int = MAX_ROUNDS) -> D
     found = start.join(heads.select("repo", "head").distinct(), ["repo", "head"], "left_semi").select(
         "repo", "head", "line", "entry", F.lit(None).cast("long").alias("before"), F.lit(True).alias("fresh")
     )
-    found, moving = _measured(found, F.col("fresh"), "reach")
-    rounds = 0
+    moving, rounds = True, 0
     while moving:
         rounds += 1
         if rounds > max_rounds:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from .grouping import with_previous
+from .grouping import spread_small, with_previous
 
 # The message of a finished sync, alert rules, secret patterns, error classes.
 SYNC_COMPLETED = "Repository sync completed"
@@ -72,7 +72,9 @@ def log_scan(lines: DataFrame, extras: Mapping[str, str], text: str = "value") -
     becomes null. All members of the line stay reachable in ``record`` (a VARIANT). Lines
     that are not JSON objects have null members and keep their text in ``corrupt_line``.
     """
-    parsed = lines.withColumn("record", F.try_parse_json(F.col(text)))
+    # The generator keeps the parsed line as one value; as a plain column it would be parsed
+    # again for every member below.
+    parsed = spread_small(lines).select("*", F.explode(F.array(F.try_parse_json(F.col(text)))).alias("record"))
     # Arrays and bare values are JSON but no log line.
     is_object = F.schema_of_variant("record").startswith("OBJECT")
     parsed = parsed.withColumn("record", F.when(is_object, F.col("record")))
@@ -279,7 +281,7 @@ def retry_backoff_cost(
 def secret_scan(texts: DataFrame, key: str, text: str = "text", patterns: Mapping[str, str] = SECRET_PATTERNS) -> DataFrame:
     """One row per (row, pattern found in its text)."""
     hits = [F.when(F.col(text).rlike(regex), F.lit(name)) for name, regex in patterns.items()]
-    return texts.select(key, F.explode(F.array_compact(F.array(*hits))).alias("pattern"))
+    return spread_small(texts.select(key, text)).select(key, F.explode(F.array_compact(F.array(*hits))).alias("pattern"))
 
 
 def secret_counts(texts: DataFrame, key: str, text: str = "text", patterns: Mapping[str, str] = SECRET_PATTERNS) -> DataFrame:

@@ -286,11 +286,16 @@ class Source:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._schemas = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in VIEWS:
             return self.sql(VIEWS[name])
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if name not in self._schemas:
+            # Read the file footers for the schema once, not once per use of the table.
+            self._schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(path)
 
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{name: self[name] for name in references(text)})

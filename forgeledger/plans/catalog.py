@@ -1106,7 +1106,8 @@ class StreamSource(Source):
         table = super().__getitem__(name)
         if name != "events":
             return table
-        path = f"{self.folder}/events.parquet"
+        # A pattern, because a plain path would have to be a folder.
+        path = f"{self.folder}/events.parque[t]"
         rows = self.spark.readStream.schema(table.schema).parquet(path)
         return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
