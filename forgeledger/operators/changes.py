@@ -154,7 +154,8 @@ def version_rollbacks(
     keys, order = list(keys), list(order)
     changes = version_audit(history, keys, order, version)
     first = history.groupBy(*keys, version).agg(F.min(F.struct(*order)).alias("__first"))
-    return changes.join(first, [*keys, version]).where(F.struct(*order) > F.col("__first")).drop("__first")
+    later = F.struct(*order) > F.col("__first")
+    return changes.join(first, [*keys, version]).where(later).select(*changes.columns)
 
 
 def _columns(order: Sequence[Column | str]) -> list[Column]:
