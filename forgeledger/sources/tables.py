@@ -24,8 +24,8 @@ def log_line_stream(spark: SparkSession, path: str, files_per_trigger: int = 1_0
 
 def json_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """Whole JSON files (manifests, sidecars, registry entries): key and text."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-    return reader.text(path).select(_relative(F.col("_metadata.file_path"), path).alias("key"), "value")
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
+    return files.select(_relative(F.col("_metadata.file_path"), path).alias("key"), "value")
 
 
 def text_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
