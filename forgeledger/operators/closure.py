@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.versions import satisfies
-from ..session import durable
+from ..session import durable, durable_counted
 from .deps import requirement_edges
 
 _SCHEMA = "package STRING, level BIGINT, requested_as STRING, version_spec STRING, status STRING, version STRING, place BINARY"
@@ -39,9 +39,9 @@ def resolve(
         )
         if visited is not None:
             first = first.join(visited.select("package"), "package", "left_anti")
-        found = first.join(latest, "package", "left")
+        offered = first.join(latest, "package", "left")
         ok = satisfies("version", F.coalesce("first.version_spec", F.lit("")))
-        frontier = found.select(
+        frontier = offered.select(
             "package",
             F.lit(level).cast("long").alias("level"),
             "first.requested_as",
@@ -50,9 +50,8 @@ def resolve(
             "version",
             "first.place",
         )
-        seen = Observation()
-        frontier = durable(frontier.observe(seen, F.count(F.lit(1)).alias("n")), "frontier")
-        if not seen.get["n"]:
+        frontier, found = durable_counted(frontier, F.lit(True), "frontier")
+        if not found:
             break
         if level >= max_levels:
             raise RuntimeError(f"closure not complete after {max_levels} levels")
@@ -85,10 +84,8 @@ def closure(roots: DataFrame, edges: DataFrame, max_levels: int = 1_000) -> Data
     for level in range(max_levels + 1):
         if visited is not None:
             frontier = frontier.join(visited.select("package"), "package", "left_anti")
-        seen = Observation()
-        marked = frontier.withColumn("level", F.lit(level).cast("long")).observe(seen, F.count(F.lit(1)).alias("n"))
-        marked = durable(marked, "frontier")
-        if not seen.get["n"]:
+        marked, found = durable_counted(frontier.withColumn("level", F.lit(level).cast("long")), F.lit(True), "frontier")
+        if not found:
             return marked if visited is None else visited
         visited = marked if visited is None else visited.unionByName(marked)
         if level % 8 == 7:

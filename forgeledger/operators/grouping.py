@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable, max_group_rows
+from ..session import durable, durable_counted, max_group_rows
 
 _SLICE = "__slice"
 _SMALL_BYTES = 256 * 1024 * 1024
@@ -56,12 +56,12 @@ def _split_large(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame,
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     else:
         sizes = df.agg(F.count(F.lit(1)).alias("__n"))
-    large = sizes.where(F.col("__n") > limit)
-    if large.isEmpty():
+    large, found = durable_counted(sizes.where(F.col("__n") > limit), F.lit(True), "large-groups")
+    if not found:
         return df, None
     if not keys:
         return df.limit(0), df
-    large = F.broadcast(durable(large.select(*keys), "large-groups"))
+    large = F.broadcast(large.select(*keys))
     return join_null_safe(df, large, keys, "left_anti"), join_null_safe(df, large, keys, "left_semi")
 
 

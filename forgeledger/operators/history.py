@@ -17,22 +17,27 @@ affects speed. Edges to commits that are not listed (a shallow boundary) are ign
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, durable_counted
 
 MAX_ROUNDS = 64
+# Long stretches of a line are handled in blocks of this many commits.
 _BLOCK = 65_536
+# Links are matched per block of this many depths, so that a line with very many links and
+# very many heads is worked on by many tasks.
+_LINK_BLOCK = 1_024
 
 
 class History:
     """Commits of an estate with their line and depth, and the links between lines."""
 
-    def __init__(self, places: DataFrame, links: DataFrame, lengths: DataFrame):
+    def __init__(self, places: DataFrame, links: DataFrame):
         self.places = places  # repo, sha, line, depth
-        self.links = links  # repo, from_line, from_depth, to_line, to_depth
-        self.lengths = lengths  # repo, line, length
+        self.links = links  # repo, from_line, block, from_depth, to_line, to_depth
+        self.lengths = places.groupBy("repo", "line").agg((F.max("depth") + 1).alias("length"))
+        self.last_blocks = links.groupBy("repo", "from_line").agg(F.max("block").alias("last_block"))
 
 
 def place_commits(commits: DataFrame, max_rounds: int = 48) -> History:
@@ -52,7 +57,7 @@ def place_commits(commits: DataFrame, max_rounds: int = 48) -> History:
         F.col("child").isNotNull().cast("long").alias("depth"),
         F.col("child").isNull().alias("at_top"),
     )
-    state, moving = _measured(state, ~F.col("at_top"), "lines")
+    state, moving = durable_counted(state, ~F.col("at_top"), "lines")
     rounds = 0
     while moving:
         rounds += 1
@@ -73,7 +78,7 @@ def place_commits(commits: DataFrame, max_rounds: int = 48) -> History:
             (F.col("depth") + F.col("next_depth")).alias("depth"),
             F.col("next_top").alias("at_top"),
         )
-        state, moving = _measured(state.where("at_top").unionByName(moved), ~F.col("at_top"), "lines")
+        state, moving = durable_counted(state.where("at_top").unionByName(moved), ~F.col("at_top"), "lines")
     places = state.select("repo", "sha", "line", "depth")
     child = places.select("repo", "sha", F.col("line").alias("from_line"), F.col("depth").alias("from_depth"))
     parent = places.select(
@@ -88,15 +93,20 @@ def place_commits(commits: DataFrame, max_rounds: int = 48) -> History:
         .groupBy("repo", "from_line", "from_depth", "to_line")
         .agg(F.min("to_depth").alias("to_depth"))
     )
-    lengths = places.groupBy("repo", "line").agg((F.max("depth") + 1).alias("length"))
-    return History(places, durable(links, "links"), lengths)
+    return History(places, durable(links.withColumn("block", _block("from_depth")), "links"))
+
+
+def _block(depth: str) -> Column:
+    return F.floor(F.col(depth) / _LINK_BLOCK).cast("long")
 
 
 def reach(history: History, heads: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(repo, head, line, entry): from ``head`` every commit of ``line`` at depth >= entry.
 
     ``heads`` has (repo, head). Heads that are not in the history have no rows. The number of
-    rounds is the number of times a path changes lines, not its length.
+    rounds is the number of times a path changes lines, not its length. The result has one
+    row per head and line below it, so ask about the heads that matter (branch tips), not
+    about every commit.
     """
     start = history.places.select("repo", F.col("sha").alias("head"), "line", F.col("depth").alias("entry"))
     found = start.join(heads.select("repo", "head").distinct(), ["repo", "head"], "left_semi").select(
@@ -109,8 +119,14 @@ def reach(history: History, heads: DataFrame, max_rounds: int = MAX_ROUNDS) -> D
             raise RuntimeError(f"reachability did not close in {max_rounds} rounds; raise max_rounds")
         # Only the newly covered stretch [entry, before) of a line can lead anywhere new.
         front = found.where("fresh").select("repo", "head", F.col("line").alias("from_line"), "entry", "before")
+        # Lines without links drop out here, the others spread over their blocks.
+        spread = front.join(history.last_blocks, ["repo", "from_line"]).where(_block("entry") <= F.col("last_block"))
+        last = F.least("last_block", F.coalesce(_block("before"), "last_block"))
+        blocks = spread.select(
+            "repo", "head", "from_line", "entry", "before", F.explode(F.sequence(_block("entry"), last)).alias("block")
+        )
         step = (
-            front.join(history.links, ["repo", "from_line"])
+            blocks.join(history.links, ["repo", "from_line", "block"])
             .where((F.col("from_depth") >= F.col("entry")) & (F.col("before").isNull() | (F.col("from_depth") < F.col("before"))))
             .groupBy("repo", "head", F.col("to_line").alias("line"))
             .agg(F.min("to_depth").alias("reached"))
@@ -124,7 +140,7 @@ def reach(history: History, heads: DataFrame, max_rounds: int = MAX_ROUNDS) -> D
             F.when(improved, F.col("entry")).alias("before"),
             improved.alias("fresh"),
         )
-        found, moving = _measured(merged, F.col("fresh"), "reach")
+        found, moving = durable_counted(merged, F.col("fresh"), "reach")
     return found.select("repo", "head", "line", "entry")
 
 
@@ -246,9 +262,3 @@ def divergence(
         "repo", "branch", "left_tip", "right_tip"
     )
 
-
-def _measured(df: DataFrame, condition, label: str) -> tuple[DataFrame, int]:
-    """Write ``df`` out and count the rows that meet ``condition`` while doing so."""
-    seen = Observation()
-    written = durable(df.observe(seen, F.count_if(condition).alias("n")), label)
-    return written, seen.get["n"]

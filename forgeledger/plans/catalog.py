@@ -370,11 +370,11 @@ def _ancestors(heads: str) -> str:
 
 @query(
     "commit_ancestors",
-    _ancestors("select distinct repo, sha as head from {v_commits}") + "select repo, head, count(*) as n_ancestors from up group by repo, head",
+    _ancestors("select distinct repo, new as head from {v_moves}") + "select repo, head, count(*) as n_ancestors from up group by repo, head",
 )
 def _(s):
     history = H.place_commits(s["v_commits"])
-    return H.ancestor_counts(history, s["v_commits"].select("repo", F.col("sha").alias("head")))
+    return H.ancestor_counts(history, s["v_moves"].select("repo", F.col("new").alias("head")))
 
 
 @query(

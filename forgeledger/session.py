@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every operator relies on. All of them can be changed on a running session.
 RUNTIME_CONF = {
@@ -65,7 +66,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/forgeledger/{label}-{uuid.uuid4().hex}"
+    """A new path for an intermediate table. All of one application's are in one folder."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark).rstrip('/')}/forgeledger/{application}/{label}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame, label: str = "step") -> DataFrame:
@@ -81,5 +84,12 @@ def durable(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def durable_counted(df: DataFrame, condition: Column, label: str = "step") -> tuple[DataFrame, int]:
+    """``durable``, with the number of rows that meet ``condition``, counted while writing."""
+    seen = Observation()
+    written = durable(df.observe(seen, F.count_if(condition).alias("n")), label)
+    return written, seen.get["n"]
+
+
 def max_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_ROWS_CONF, str(GROUP_ROWS_DEFAULT)))

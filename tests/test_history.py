@@ -81,6 +81,21 @@ def test_two_branches_merging_into_each_other_take_few_rounds(spark, rows):
     assert rows(H.ancestor_counts(history, heads)) == [("r", 398, 399), ("r", 399, 400)]
 
 
+def test_many_blocks_of_links(spark, rows, monkeypatch):
+    monkeypatch.setattr(H, "_LINK_BLOCK", 3)
+    monkeypatch.setattr(H, "_BLOCK", 2)
+    rng = random.Random(17)
+    edges = graph(rng, 60, "r") + graph(rng, 45, "s")
+    known = ancestors(edges)
+    history = H.place_commits(spark.createDataFrame(edges, COMMITS))
+    heads = spark.createDataFrame(sorted(known), "repo string, head long")
+    assert rows(H.ancestor_counts(history, heads)) == sorted(((r, s, len(a)) for (r, s), a in known.items()), key=repr)
+    moves = [("r", 20, 59), ("s", 7, 44), ("s", 44, 30)]
+    expected = [(r, o, n, c) for r, o, n in moves for _, c in known[(r, n)] - known[(r, o)]]
+    got = H.new_commits(history, spark.createDataFrame(moves, "repo string, old long, new long"))
+    assert rows(got) == sorted(expected, key=repr)
+
+
 def test_parent_order_does_not_change_results(spark, rows):
     edges = [("r", 0, None, 0), ("r", 1, 0, 0), ("r", 2, 0, 0), ("r", 3, 1, 0), ("r", 3, 2, 1)]
     heads = spark.createDataFrame([("r", 3)], "repo string, head long")
