@@ -41,29 +41,30 @@ class History:
 
 
 def place_commits(commits: DataFrame, max_rounds: int = 48) -> History:
-    edges = commits.select("repo", "sha", "parent", *[c for c in ("parent_no",) if c in commits.columns])
-    nodes = edges.select("repo", "sha").distinct()
-    known = edges.where("parent is not null").join(
-        nodes.withColumnRenamed("sha", "parent"), ["repo", "parent"], "left_semi"
-    )
-    preference = F.struct("parent_no", "parent") if "parent_no" in edges.columns else F.struct(F.lit(0), F.col("parent"))
-    first = known.groupBy("repo", "sha").agg(F.min_by("parent", preference).alias("parent"))
+    if "parent_no" in commits.columns:
+        preference = F.struct("parent_no", "parent")
+    else:
+        preference = F.col("parent")
+    nodes = commits.groupBy("repo", "sha").agg(F.min_by("parent", preference).alias("parent"))
     # Each parent continues its line in exactly one child.
-    above = first.groupBy("repo", "parent").agg(F.max("sha").alias("child"))
-    state = nodes.join(above.withColumnRenamed("parent", "sha"), ["repo", "sha"], "left").select(
+    above = nodes.where("parent is not null").groupBy("repo", "parent").agg(F.max("sha").alias("child"))
+    start = nodes.select("repo", "sha").join(above.withColumnRenamed("parent", "sha"), ["repo", "sha"], "left")
+    start = start.select(
         "repo",
         "sha",
         F.coalesce("child", "sha").alias("line"),
         F.col("child").isNotNull().cast("long").alias("depth"),
         F.col("child").isNull().alias("at_top"),
     )
-    state, moving = durable_counted(state, ~F.col("at_top"), "lines")
+    latest, moving = durable_counted(start, ~F.col("at_top"), "lines")
+    finished = latest.where("at_top")
     rounds = 0
     while moving:
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError(f"commit lines did not close in {max_rounds} rounds; the graph has a cycle")
-        target = state.select(
+        pending = latest.where("not at_top")
+        target = finished.unionByName(pending).select(
             "repo",
             F.col("sha").alias("line"),
             F.col("line").alias("next_line"),
@@ -71,22 +72,25 @@ def place_commits(commits: DataFrame, max_rounds: int = 48) -> History:
             F.col("at_top").alias("next_top"),
         )
         # Unfinished commits of one line all point 2^k commits up, so no two share a target.
-        moved = state.where("not at_top").join(target, ["repo", "line"]).select(
+        moved = pending.join(target, ["repo", "line"]).select(
             "repo",
             "sha",
             F.col("next_line").alias("line"),
             (F.col("depth") + F.col("next_depth")).alias("depth"),
             F.col("next_top").alias("at_top"),
         )
-        state, moving = durable_counted(state.where("at_top").unionByName(moved), ~F.col("at_top"), "lines")
-    places = state.select("repo", "sha", "line", "depth")
+        # Finished commits are not written again.
+        latest, moving = durable_counted(moved, ~F.col("at_top"), "lines")
+        finished = finished.unionByName(latest.where("at_top"))
+    places = finished.select("repo", "sha", "line", "depth")
     child = places.select("repo", "sha", F.col("line").alias("from_line"), F.col("depth").alias("from_depth"))
     parent = places.select(
         "repo", F.col("sha").alias("parent"), F.col("line").alias("to_line"), F.col("depth").alias("to_depth")
     )
     along = (F.col("from_line") == F.col("to_line")) & (F.col("to_depth") == F.col("from_depth") + 1)
     links = (
-        known.select("repo", "sha", "parent")
+        commits.where("parent is not null")
+        .select("repo", "sha", "parent")
         .join(child, ["repo", "sha"])
         .join(parent, ["repo", "parent"])
         .where(~along)
