@@ -31,9 +31,9 @@ VIEWS = {
         from {part}""",
     # The same paths as people type them: doubled, leading and trailing slashes, blanks.
     "v_messy_paths": """
-        select id, case when id % 7 = 0 then '//' || replace(path, '/', '///') || '/'
-                        when id % 7 = 1 then '   ' when id % 7 = 2 then null else path end as path
-        from {v_paths}""",
+        select p.p_partkey as id, case when p.p_size < 10 then '//' || replace(v.path, '/', '///') || '/'
+               when p.p_size < 15 then '   ' when p.p_size < 20 then null else v.path end as path
+        from {part} p join {v_paths} v on v.id = p.p_partkey""",
     "v_names": """
         select id, case id % 9 when 0 then name || '.git' when 1 then '-' || name when 2 then '..'
                                when 3 then repeat(name, 8) when 4 then '' when 5 then name || ' x'
@@ -73,7 +73,7 @@ VIEWS = {
         select o_orderkey as archive_id, o_custkey as repo,
                'repo-' || cast(o_custkey as varchar(20)) || '/' || cast(o_orderkey as varchar(20)) || '.tar.gz' as archive_key,
                case when o_orderstatus = 'F' then 'full' else 'incremental' end as archive_type,
-               cast(round(o_totalprice * 100) as bigint) as size_bytes, o_orderdate as mtime
+               cast(round(o_totalprice * 100) as bigint) as size_bytes, o_orderdate as mtime, o_orderpriority as priority
         from {orders}""",
     "v_state_log": """
         select o_custkey as repo, o_orderdate as ts, o_orderkey as seq,
@@ -120,8 +120,7 @@ VIEWS = {
                'v' || cast(l_suppkey % 4 as varchar(10)) as version from {lineitem}""",
     # Archives.
     "v_objects": """
-        select archive_key || case when archive_id % 11 = 0 then '.tmp' else '' end as key, size_bytes, mtime, archive_id,
-               repo, archive_type from {v_archives}""",
+        select archive_key || case when priority = '5-LOW' then '.tmp' else '' end as key, size_bytes, mtime from {v_archives}""",
     "v_sidecars": """
         select archive_key || '.meta.json' as key,
                '{{"archive_type": "' || archive_type || '", "repository_name": "repo-' || cast(repo as varchar(20)) || '"' ||
@@ -145,7 +144,7 @@ VIEWS = {
                case when archive_id % 2 = 0 then 'true' else 'false' end ||
                case when archive_type = 'full' then ', "lfs_object_count": ' || cast(archive_id % 5 as varchar(10)) else '' end ||
                '}}' end as value
-        from {v_archives} where archive_id % 17 <> 0 or archive_type = 'full'""",
+        from {v_archives} where priority <> '5-LOW' or archive_type = 'full'""",
     "v_members": """
         select a.archive_id as archive, a.size_bytes % 19 <> 0 as bundle_found, a.size_bytes % 23 <> 0 as bundle_ok,
                'bad object' as bundle_error, coalesce(l.n, 0) > 0 as lfs_found, coalesce(l.n, 0) as lfs_objects

@@ -199,20 +199,23 @@ def _(s):
 
 @query(
     "map_flatten_normalised",
-    "select id, replace(path, '/', '-') as target_name from {v_paths} where id % 7 not in (1, 2)",
+    "select id, replace(path, '/', '-') as target_name from {v_paths} join {part} on p_partkey = id where p_size not between 10 and 19",
 )
 def _(s):
     return N.map_normalised(s["v_messy_paths"]).select("id", "target_name")
 
 
-@query("blank_paths", "select id, case id % 7 when 1 then 'path is empty' else 'path is null' end as reject_reason from {v_paths} where id % 7 in (1, 2)")
+@query(
+    "blank_paths",
+    "select p_partkey as id, case when p_size < 15 then 'path is empty' else 'path is null' end as reject_reason from {part} where p_size between 10 and 19",
+)
 def _(s):
     return N.blank_paths(s["v_messy_paths"]).select("id", "reject_reason")
 
 
 @query(
     "map_prefix_label",
-    "select id, 'infra-' || split_part(path, '/', 3) as target_name from {v_paths} where id % 7 not in (1, 2)",
+    "select id, 'infra-' || split_part(path, '/', 3) as target_name from {v_paths} join {part} on p_partkey = id where p_size not between 10 and 19",
 )
 def _(s):
     return N.map_labelled(s["v_messy_paths"], "infra").select("id", "target_name")
@@ -496,10 +499,10 @@ def _(s):
     case when archive_type = 'full' and archive_id % 3 = 0 then cast(archive_id as varchar) end as checksum_sha256,
     case when archive_type = 'full' then archive_type end as archive_type,
     case when archive_type = 'full' then 'repo-' || cast(repo as varchar) end as repository_name
-    from {v_archives} where archive_id % 11 <> 0""",
+    from {v_archives} where priority <> '5-LOW'""",
 )
 def _(s):
-    return A.archive_listing(s["v_objects"].select("key", "size_bytes", "mtime"), s["v_sidecars"]).drop("metadata")
+    return A.archive_listing(s["v_objects"], s["v_sidecars"]).drop("metadata")
 
 
 @query(
@@ -544,7 +547,7 @@ def _(s):
     case when archive_id % 13 <> 0 then 'c' || cast(archive_id as varchar) end as head_sha,
     case when archive_id % 13 <> 0 then archive_id % 2 = 0 end as lfs_enabled,
     case when archive_id % 13 <> 0 and archive_type = 'full' then archive_id % 5 end as lfs_object_count
-    from {v_archives} where archive_id % 17 <> 0 or archive_type = 'full'""",
+    from {v_archives} where priority <> '5-LOW' or archive_type = 'full'""",
 )
 def _(s):
     return A.manifest_read(s["v_manifest_text"]).select(
