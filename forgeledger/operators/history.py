@@ -1,14 +1,24 @@
 """Reachability in commit graphs.
 
 Commit graphs are deep: a plain frontier join needs one round per commit of history. Here
-every commit is first placed on a *line* (a maximal run of first-parent links, each parent
-continuing in one child only) with its depth below the newest commit of that line. Lines are
-found by pointer doubling, so a history of n commits takes log2(n) rounds. A commit that is
-reached on a line reaches all deeper commits of that line, therefore the set reachable from a
-head is stored as one number per line it touches, and the frontier only moves between lines.
+every commit is first placed on a *line* with its depth below the newest commit of that line.
+A commit that is reached on a line reaches all deeper commits of that line, therefore the set
+reachable from a head is stored as one number per line it touches, and the frontier only
+moves between lines.
 
-All joins are on (repo, commit), (repo, line) or (repo, line, depth), never on the repository
-alone, so a repository holding a third of all commits is spread like any other data.
+Lines follow first parents. Where several commits have the same first parent, the line goes
+on in the one with most first-parent descendants, so that the way down from any commit
+changes lines at most log2(n) times. They are found in three steps, all by pointer doubling:
+
+1. *Segments*: unbranched runs, also cut at about every 64th commit. Their lengths are small
+   whatever the history looks like, so this takes about ten rounds over the commits.
+2. *Weights*: descendants of each segment in the tree of segments.
+3. *Lines*: the heaviest child continues the line. Steps 2 and 3 take log2(depth) rounds over
+   the much smaller table of segments.
+
+All joins are on (repo, commit), (repo, segment), (repo, line, block) and the like, never on
+the repository alone, so a repository holding a third of all commits is spread like any other
+data.
 
 Inputs: ``commits(repo, sha, parent)``, one row per parent edge, parent null for a root. An
 optional ``parent_no`` column (0 = first parent) makes lines follow the main history; it only
@@ -22,7 +32,11 @@ from pyspark.sql import functions as F
 
 from ..session import durable, durable_counted
 
-MAX_ROUNDS = 64
+MAX_ROUNDS = 256
+# A cycle would double a pointer for ever; no history is 2^48 commits deep.
+_MAX_DOUBLINGS = 48
+# About one commit in this many ends a segment.
+_SEGMENT = 64
 # Long stretches of a line are handled in blocks of this many commits.
 _BLOCK = 65_536
 # Links are matched per block of this many depths, so that a line with very many links and
@@ -40,49 +54,20 @@ class History:
         self.last_blocks = links.groupBy("repo", "from_line").agg(F.max("block").alias("last_block"))
 
 
-def place_commits(commits: DataFrame, max_rounds: int = 48) -> History:
+def place_commits(commits: DataFrame) -> History:
     if "parent_no" in commits.columns:
         preference = F.struct("parent_no", "parent")
     else:
         preference = F.col("parent")
-    nodes = commits.groupBy("repo", "sha").agg(F.min_by("parent", preference).alias("parent"))
-    # Each parent continues its line in exactly one child.
-    above = nodes.where("parent is not null").groupBy("repo", "parent").agg(F.max("sha").alias("child"))
-    start = nodes.select("repo", "sha").join(above.withColumnRenamed("parent", "sha"), ["repo", "sha"], "left")
-    start = start.select(
-        "repo",
-        "sha",
-        F.coalesce("child", "sha").alias("line"),
-        F.col("child").isNotNull().cast("long").alias("depth"),
-        F.col("child").isNull().alias("at_top"),
+    nodes = durable(commits.groupBy("repo", "sha").agg(F.min_by("parent", preference).alias("parent")), "nodes")
+    places, segments = _segments(nodes)
+    lines = _heavy_lines(segments)
+    places = durable(
+        places.join(lines, ["repo", "segment"]).select(
+            "repo", "sha", "line", (F.col("inside") + F.col("offset")).alias("depth")
+        ),
+        "places",
     )
-    latest, moving = durable_counted(start, ~F.col("at_top"), "lines")
-    finished = latest.where("at_top")
-    rounds = 0
-    while moving:
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"commit lines did not close in {max_rounds} rounds; the graph has a cycle")
-        pending = latest.where("not at_top")
-        target = finished.unionByName(pending).select(
-            "repo",
-            F.col("sha").alias("line"),
-            F.col("line").alias("next_line"),
-            F.col("depth").alias("next_depth"),
-            F.col("at_top").alias("next_top"),
-        )
-        # Unfinished commits of one line all point 2^k commits up, so no two share a target.
-        moved = pending.join(target, ["repo", "line"]).select(
-            "repo",
-            "sha",
-            F.col("next_line").alias("line"),
-            (F.col("depth") + F.col("next_depth")).alias("depth"),
-            F.col("next_top").alias("at_top"),
-        )
-        # Finished commits are not written again.
-        latest, moving = durable_counted(moved, ~F.col("at_top"), "lines")
-        finished = finished.unionByName(latest.where("at_top"))
-    places = finished.select("repo", "sha", "line", "depth")
     child = places.select("repo", "sha", F.col("line").alias("from_line"), F.col("depth").alias("from_depth"))
     parent = places.select(
         "repo", F.col("sha").alias("parent"), F.col("line").alias("to_line"), F.col("depth").alias("to_depth")
@@ -100,6 +85,109 @@ def place_commits(commits: DataFrame, max_rounds: int = 48) -> History:
     return History(places, durable(links.withColumn("block", _block("from_depth")), "links"))
 
 
+def _segments(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Place of every commit in its segment, and the segments with their parent and length."""
+    above = nodes.where("parent is not null").groupBy("repo", "parent").agg(
+        F.count(F.lit(1)).alias("n_children"), F.min("sha").alias("child")
+    )
+    runs_on = (F.col("n_children") == 1) & (F.pmod(F.xxhash64("repo", "parent"), F.lit(_SEGMENT)) != 0)
+    above = above.where(runs_on).select("repo", F.col("parent").alias("sha"), "child")
+    start = nodes.select("repo", "sha").join(above, ["repo", "sha"], "left")
+    climbed = _climb(start.select("repo", "sha", "child", F.lit(1).cast("long").alias("step")))
+    places = climbed.select("repo", "sha", F.col("top").alias("segment"), F.col("distance").alias("inside"))
+    lengths = places.groupBy("repo", "segment").agg((F.max("inside") + 1).alias("length"))
+    # The first parent of a segment's oldest commit has the newest place in its own segment,
+    # because nothing runs on above it. Other first parents lie inside the same segment.
+    tops = places.where("inside = 0").select("repo", F.col("segment").alias("parent"))
+    down = (
+        nodes.where("parent is not null")
+        .join(tops, ["repo", "parent"])
+        .join(places, ["repo", "sha"])
+        .select("repo", "segment", F.col("parent").alias("parent_segment"))
+    )
+    segments = lengths.join(down, ["repo", "segment"], "left")
+    return places, durable(segments, "segments")
+
+
+def _climb(start: DataFrame) -> DataFrame:
+    """Follow ``child`` links to the top: (repo, sha, child, step) to (repo, sha, top, distance).
+
+    Every row is the child of at most one other. Rows that have arrived are not written again.
+    """
+    latest = start.select(
+        "repo",
+        "sha",
+        F.coalesce("child", "sha").alias("top"),
+        F.when(F.col("child").isNull(), F.lit(0)).otherwise(F.col("step")).cast("long").alias("distance"),
+        F.col("child").isNull().alias("arrived"),
+    )
+    latest, moving = durable_counted(latest, ~F.col("arrived"), "climb")
+    finished = latest.where("arrived")
+    rounds = 0
+    while moving:
+        rounds += 1
+        if rounds > _MAX_DOUBLINGS:
+            raise RuntimeError("the commit graph has a cycle")
+        pending = latest.where("not arrived")
+        target = finished.unionByName(pending).select(
+            "repo",
+            F.col("sha").alias("top"),
+            F.col("top").alias("next_top"),
+            F.col("distance").alias("next_distance"),
+            F.col("arrived").alias("next_arrived"),
+        )
+        # All pending rows point the same number of links up, so no two share a target.
+        moved = pending.join(target, ["repo", "top"]).select(
+            "repo",
+            "sha",
+            F.col("next_top").alias("top"),
+            (F.col("distance") + F.col("next_distance")).alias("distance"),
+            F.col("next_arrived").alias("arrived"),
+        )
+        latest, moving = durable_counted(moved, ~F.col("arrived"), "climb")
+        finished = finished.unionByName(latest.where("arrived"))
+    return finished.select("repo", "sha", "top", "distance")
+
+
+def _heavy_lines(segments: DataFrame) -> DataFrame:
+    """(repo, segment, line, offset): the line each segment is part of, and where it starts there."""
+    state = segments.select(
+        "repo", "segment", F.col("parent_segment").alias("ancestor"), F.col("length").alias("weight")
+    )
+    moving, rounds = True, 0
+    while moving:
+        rounds += 1
+        if rounds > _MAX_DOUBLINGS:
+            raise RuntimeError("the commit graph has a cycle")
+        # Weights cover all descendants fewer than 2^k links away. Those further away, up to
+        # twice as far, are below the descendants that have this segment as 2^k-th ancestor.
+        pending = state.where("ancestor is not null")
+        gained = pending.groupBy("repo", F.col("ancestor").alias("segment")).agg(F.sum("weight").alias("gain"))
+        further = state.select("repo", F.col("segment").alias("ancestor"), F.col("ancestor").alias("next_ancestor"))
+        moved = state.join(further, ["repo", "ancestor"], "left").join(gained, ["repo", "segment"], "left")
+        state, moving = durable_counted(
+            moved.select(
+                "repo",
+                "segment",
+                F.col("next_ancestor").alias("ancestor"),
+                (F.col("weight") + F.coalesce("gain", F.lit(0))).alias("weight"),
+            ),
+            F.col("ancestor").isNotNull(),
+            "weights",
+        )
+    child = segments.join(state.select("repo", "segment", "weight"), ["repo", "segment"]).where(
+        "parent_segment is not null"
+    )
+    heaviest = child.groupBy("repo", F.col("parent_segment").alias("sha")).agg(
+        F.max(F.struct("weight", "segment", "length")).alias("best")
+    )
+    start = segments.select("repo", F.col("segment").alias("sha")).join(heaviest, ["repo", "sha"], "left")
+    climbed = _climb(start.select("repo", "sha", F.col("best.segment").alias("child"), F.col("best.length").alias("step")))
+    return climbed.select(
+        "repo", F.col("sha").alias("segment"), F.col("top").alias("line"), F.col("distance").alias("offset")
+    )
+
+
 def _block(depth: str) -> Column:
     return F.floor(F.col(depth) / _LINK_BLOCK).cast("long")
 

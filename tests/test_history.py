@@ -64,7 +64,7 @@ def test_counts_and_new_commits_equal_brute_force(spark, estate, rows):
 def test_deep_linear_history_takes_few_rounds(spark, rows):
     n = 5_000
     edges = spark.range(n).select(F.lit("r").alias("repo"), F.col("id").alias("sha"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
-    history = H.place_commits(edges, max_rounds=14)
+    history = H.place_commits(edges)
     moves = spark.createDataFrame([("r", 10, n - 1)], "repo string, old long, new long")
     assert rows(H.new_commit_counts(history, moves), "new_commit_count") == [(n - 11,)]
     assert H.new_commits(history, moves).count() == n - 11
@@ -107,7 +107,7 @@ def test_parent_order_does_not_change_results(spark, rows):
 def test_cycle_is_reported(spark):
     edges = spark.createDataFrame([("r", 1, 2), ("r", 2, 1)], COMMITS)
     with pytest.raises(RuntimeError):
-        H.place_commits(edges, max_rounds=5)
+        H.place_commits(edges)
 
 
 def test_too_few_rounds_raise_instead_of_cutting_off(spark):
@@ -117,14 +117,26 @@ def test_too_few_rounds_raise_instead_of_cutting_off(spark):
         H.reach(history, spark.createDataFrame([("r", 9)], "repo string, head long"), max_rounds=1)
 
 
+def test_side_branches_do_not_cut_the_main_line(spark, rows):
+    # A side commit with a greater number forks off and is merged back at every sixth commit.
+    main = [("r", 0, None, 0)] + [("r", i, i - 1, 0) for i in range(1, 600)]
+    side = [("r", 10_000 + i, i, 0) for i in range(0, 590, 6)]
+    back = [("r", i + 4, 10_000 + i, 1) for i in range(0, 590, 6)]
+    history = H.place_commits(spark.createDataFrame(main + side + back, COMMITS + ", parent_no int"))
+    heads = spark.createDataFrame([("r", 599)], "repo string, head long")
+    reached = H.reach(history, heads, max_rounds=3)
+    assert reached.count() == 1 + len(side)
+    assert rows(H.ancestor_counts(history, heads)) == [("r", 599, 600 + len(side))]
+
+
 FORK = [("r", 1, None), ("r", 2, 1), ("r", 3, 1)]
 
 
-@pytest.mark.parametrize("old, new, forced", [(1, 2, False), (2, 1, True), (2, 3, True), (2, 2, False), (77, 2, True), (1, 77, True)])
-def test_force_push(spark, old, new, forced):
+def test_force_push(spark, rows):
     history = H.place_commits(spark.createDataFrame(FORK, COMMITS))
-    moves = spark.createDataFrame([("r", old, new)], "repo string, old long, new long")
-    assert H.force_push(history, moves).first().forced is forced
+    expected = {(1, 2): False, (2, 1): True, (2, 3): True, (2, 2): False, (77, 2): True, (1, 77): True}
+    moves = spark.createDataFrame([("r", old, new) for old, new in expected], "repo string, old long, new long")
+    assert {(r.old, r.new): r.forced for r in H.force_push(history, moves).collect()} == expected
 
 
 def test_shallow_boundary(spark, rows):
