@@ -115,15 +115,16 @@ def migration_plan(
     """The dry-run plan of a whole estate: one row per project.
 
     Names that break a rule keep their row with ``valid = false`` and an error. ``projects``
-    needs id, path and web_url; ``catalogue`` is the targets' full_name column; ``details``
-    is keyed by id. Conflicts do not block a migration; they are counted per row.
+    needs id, path and web_url (an http_url is preferred where a listing has one);
+    ``catalogue`` is the targets' full_name column; ``details`` is keyed by id. Conflicts do
+    not block a migration; they are counted per row.
     """
     named = name_validity(map_names(projects, **mapping))
     full_name = F.concat(F.lit(org + "/"), F.col("target_name"))
     rows = named.select(
         "id",
         "path",
-        F.col("web_url").alias("source_url"),
+        F.coalesce(*[c for c in ("http_url", "web_url") if c in projects.columns], F.lit("")).alias("source_url"),
         "target_name",
         "valid",
         "error",
@@ -134,11 +135,12 @@ def migration_plan(
     clashes = (
         rows.where("valid").groupBy("target_name").agg(F.count(F.lit(1)).alias("n_same_name")).where("n_same_name > 1")
     )
-    known = catalogue.select("full_name").distinct().withColumn("__exists", F.lit(True))
+    within = catalogue.where(F.startswith(F.col("full_name"), F.lit(org + "/")))
+    known = within.select(F.substr("full_name", F.lit(len(org) + 2)).alias("target_name"), F.lit(True).alias("__exists"))
+    # Both facts about a name come as one table, so the plan's rows move once for them.
+    about_name = clashes.join(known.distinct(), "target_name", "full")
     info = details.withColumn("__found", F.lit(True))
-    joined = (
-        rows.join(clashes, "target_name", "left").join(known, "full_name", "left").join(info, "id", "left")
-    )
+    joined = rows.join(about_name, "target_name", "left").join(info, "id", "left")
     found = F.col("__found").isNotNull() & F.col("valid")
     return joined.select(
         *rows.columns,

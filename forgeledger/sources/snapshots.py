@@ -14,6 +14,11 @@ def _folder(spark: SparkSession, path: str):
     return location, location.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    location, files = _folder(spark, path)
+    return files.exists(location)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Published versions, oldest first."""
     location, files = _folder(spark, path)

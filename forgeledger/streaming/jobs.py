@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.changes import latest_state
 from ..operators.oplog import success_rate, threshold_alerts, window_start
-from ..sources.snapshots import read_snapshot, versions, write_snapshot
+from ..sources.snapshots import exists, read_snapshot, versions, write_snapshot
 
 
 def stream_errors(logs: DataFrame, width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -69,6 +69,8 @@ def update_folder(path: str) -> Callable[[DataFrame, int], None]:
 
 def read_updates(spark: SparkSession, path: str, schema, keys: Sequence[str]) -> DataFrame:
     """The last update of every key. Keys are reduced before the shuffle."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)  # no batch has had any input yet
     rows = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*")
     parts = rows.select("*", F.col("_metadata.file_path").alias("__file"))
     batch = F.regexp_extract("__file", r"/batch=(\d+)/", 1).cast("long")

@@ -108,6 +108,7 @@ def test_topics(spark, path, strip, expected):
         ("ünder", P.ERR_CHARACTERS),
         ("", P.ERR_CHARACTERS),
         ("1.2_3-x", None),
+        ("ends-with-a-line-end\n", None),
     ],
 )
 def test_name_rules(spark, name, error):
@@ -148,6 +149,14 @@ def test_plan(spark):
     assert (plan[4].target_url, plan[4].target_exists, plan[4].path_topics) == ("https://t/org/new.git", False, ["g"])
 
 
+def test_plan_prefers_a_clone_address(spark):
+    projects = spark.createDataFrame([(1, "g/a", "w", "h"), (2, "g/b", "w", None)], "id bigint, path string, web_url string, http_url string")
+    none = spark.createDataFrame([], "full_name string")
+    details = spark.createDataFrame([], "id bigint, description string, visibility string, default_branch string")
+    plan = N.migration_plan(projects, none, details, "o", "https://t")
+    assert {r.id: r.source_url for r in plan.collect()} == {1: "h", 2: "w"}
+
+
 def test_summary_of_dry_run_and_of_outcomes(spark):
     plan = estate(spark)
     assert tuple(N.plan_summary(plan).first()) == (4, 3, 1, 1, 0, 0, 0)

@@ -151,6 +151,12 @@ def test_stream_pairing(spark, batches, tmp_path):
     assert {r.operation_id: r.outcome for r in closed.collect()} == {1: "completed", 2: "unfinished", 3: "failed", 4: "unfinished"}
 
 
+def test_stream_without_input(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    J.run_available(J.stream_errors(stream(spark, tmp_path / "in")), J.update_folder(str(tmp_path / "out")), str(tmp_path / "cp"))
+    assert J.read_updates(spark, str(tmp_path / "out"), "bin timestamp, n_errors long", ["bin"]).count() == 0
+
+
 def test_log_lines(spark, tmp_path):
     put(tmp_path, "in/a.log", '{"timestamp": "2025-01-01T00:00:00", "level": "ERROR"}\nbad\n')
     assert L.log_scan(tables.log_lines(spark, str(tmp_path / "in")), {}).where("corrupt_line is null").count() == 1
