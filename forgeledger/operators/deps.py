@@ -104,13 +104,14 @@ def structured_manifest_parse(
         for batch in batches:
             names = batch[manifest].str.rsplit("/", n=1).str[-1]
             found = [structured_entries(n, t) or [] for n, t in zip(names, batch[text])]
-            batch = batch.drop(columns=[text]).assign(
-                line_no=[list(range(len(f))) for f in found],
-                entry=[[e[0] for e in f] for f in found],
-                spec=[[e[1] for e in f] for f in found],
+            source = [i for i, entries_of_file in enumerate(found) for _ in entries_of_file]
+            flat = [(n, *e) for entries_of_file in found for n, e in enumerate(entries_of_file)]
+            line_no, entry, spec = zip(*flat) if flat else ((), (), ())
+            yield batch.drop(columns=[text]).iloc[source].assign(
+                line_no=pd.Series(line_no, dtype="int32").values,
+                entry=pd.Series(entry, dtype=object).values,
+                spec=pd.Series(spec, dtype=object).values,
             )
-            batch = batch.explode(["line_no", "entry", "spec"]).dropna(subset=["entry"])
-            yield batch.astype({"line_no": "int32"})
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != text)
     rows = kept.mapInPandas(entries, f"{head}, line_no INT, entry STRING, spec STRING")

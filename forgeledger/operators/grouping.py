@@ -17,6 +17,12 @@ from ..session import durable, durable_counted, max_group_rows
 
 _SLICE = "__slice"
 _SMALL_BYTES = 256 * 1024 * 1024
+_ROW_BYTES = 16
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the size of ``df``. Nothing is run for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread_small(df: DataFrame) -> DataFrame:
@@ -26,10 +32,7 @@ def spread_small(df: DataFrame) -> DataFrame:
     The planner's size estimate decides; larger inputs have enough tasks of their own and
     are never shuffled for this.
     """
-    if df.isStreaming:
-        return df
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > _SMALL_BYTES:
+    if df.isStreaming or estimated_bytes(df) > _SMALL_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
@@ -50,8 +53,11 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def _split_large(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary groups, and rows of groups above ``limit`` (None when there are none).
 
-    At most rows/limit groups can be above the limit, which bounds the broadcast below.
+    At most rows/limit groups can be above the limit, which bounds the broadcast below. An
+    input that is estimated too small for such a group is not counted.
     """
+    if estimated_bytes(df) <= limit * _ROW_BYTES:
+        return df, None
     if keys:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     else:

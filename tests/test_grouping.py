@@ -53,3 +53,17 @@ def test_spreading_keeps_rows(spark, rows):
     df = spark.range(20).coalesce(1)
     spread = spread_small(df)
     assert rows(spread) == rows(df) and spread.rdd.getNumPartitions() > 1
+
+
+def test_large_groups_do_take_the_large_path(tiny_groups, monkeypatch):
+    from forgeledger.operators import grouping
+
+    seen = []
+    plain = grouping._slices
+    monkeypatch.setattr(grouping, "_slices", lambda df, *rest: seen.append(df.count()) or plain(df, *rest))
+    df = skewed(tiny_groups)
+    order_in_group(df, ["k"], [F.col("t"), F.col("id")])
+    assert seen == [320]  # the hot group and the null group; the groups of two or three stay out
+    seen.clear()
+    order_in_group(df.where("k <> 'hot'"), ["k"], [F.col("id")])
+    assert seen == []
