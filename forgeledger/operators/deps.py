@@ -71,10 +71,11 @@ def repos_with_language(files: DataFrame, language: str, key: str = "repo", path
 
 def language_metadata(files: DataFrame, key: str = "repo", path: str = "file_path") -> DataFrame:
     """Manifest files per (repository, language) in sorted order: one row per file with its
-    place in the list, and the number of files of that repository and language."""
+    place in the list, and the number of files of that repository and language. Paths sort
+    part by part, so a folder's files come before those of a longer-named folder."""
     found = manifest_files(files, path).select(key, "language", path).distinct()
     counts = found.groupBy(key, "language").agg(F.count(F.lit(1)).alias("manifest_count"))
-    placed = order_in_group(found, [key, "language"], [F.col(path)])
+    placed = order_in_group(found, [key, "language"], [F.split(path, "/")])
     return placed.join(counts, [key, "language"])
 
 

@@ -189,7 +189,7 @@ def top_commits(logs: DataFrame, n: int = 10, tiebreak: str = "event_id") -> Dat
 
 
 def retry_attempts(logs: DataFrame) -> DataFrame:
-    retried = logs.where("retry_attempt is not null and retry_attempt <> 0")
+    retried = logs.where("retry_attempt is not null")
     return retried.groupBy("repository").agg(
         F.count(F.lit(1)).alias("n_retries"), F.max("retry_attempt").alias("max_attempt")
     )

@@ -17,7 +17,6 @@ from ..operators import history as H
 from ..operators import naming as N
 from ..operators import oplog as L
 from ..operators import selection as S
-from ..operators.grouping import order_in_group
 from ..session import configure, scratch_path
 from ..streaming import jobs as J
 from .bindings import Source, standalone_sql
@@ -725,7 +724,7 @@ def _(s):
 
 @query(
     "language_metadata",
-    f"""select repo, language, file_path, row_number() over (partition by repo, language order by file_path) as position,
+    f"""select repo, language, file_path, row_number() over (partition by repo, language order by string_split(file_path, '/')) as position,
     count(*) over (partition by repo, language) as manifest_count from {_LANGUAGES} t where language is not null""",
 )
 def _(s):
@@ -938,7 +937,7 @@ def _(s):
 
 @query(
     "retry_attempts",
-    "select repository, count(*) as n_retries, max(retry_attempt) as max_attempt from {v_log} where retry_attempt > 0 group by repository",
+    "select repository, count(*) as n_retries, max(retry_attempt) as max_attempt from {v_log} where retry_attempt is not null group by repository",
 )
 def _(s):
     return L.retry_attempts(s["v_log"])

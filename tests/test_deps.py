@@ -66,6 +66,10 @@ def test_structured_manifest(spark, name, text, expected):
     assert [(r.name, r.version_spec) for r in got] == expected
 
 
+def tiny_paths(spark):
+    return spark.createDataFrame([("r", p) for p in ("a-b/go.mod", "go.mod", "a/go.mod")], "repo string, file_path string")
+
+
 def test_languages(spark, rows):
     paths = ["a/requirements.txt", "Pipfile", "x/y/app.csproj", "lib.gemspec", "Gemfile", "go.mod", "README.md", "REQUIREMENTS.TXT", "pom.xml.bak"]
     df = spark.createDataFrame([("r", p) for p in paths] + [("s", "pom.xml")], "repo string, file_path string")
@@ -75,6 +79,8 @@ def test_languages(spark, rows):
         D.repos_with_language(df, "maven")
     ruby = D.language_metadata(df).where("language = 'ruby'")
     assert rows(ruby, "file_path", "position", "manifest_count") == [("Gemfile", 1, 2), ("lib.gemspec", 2, 2)]
+    near = tiny_paths(spark)
+    assert [r.file_path for r in D.language_metadata(near).orderBy("position").collect()] == ["a/go.mod", "a-b/go.mod", "go.mod"]
     names = [n for group in D.LANGUAGE_MANIFESTS.values() for n in group.split()]
     assert (len(D.LANGUAGE_MANIFESTS), len(names), len(set(names))) == (13, 53, 53)
 

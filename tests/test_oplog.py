@@ -102,7 +102,7 @@ def test_errors_and_retries(spark, rows):
     assert rows(L.retry_backoff_cost(waits, ["op"])) == [("a", 8, 183.0, 91.5)]
     assert rows(L.retry_backoff_cost(waits, ["op"], jitter=False, longest=2))[0][2:] == (15.0, 15.0)
     tried = spark.createDataFrame([("a", 1), ("a", 3), ("b", None), ("b", 0)], "repository string, retry_attempt int")
-    assert rows(L.retry_attempts(tried)) == [("a", 2, 3)]
+    assert rows(L.retry_attempts(tried)) == [("a", 2, 3), ("b", 1, 0)]
 
 
 def test_size_trend(spark, rows):
