@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 from ..session import durable, durable_counted
 
 MAX_ROUNDS = 256
-# A cycle would double a pointer for ever; no history is 2^48 commits deep.
-_MAX_DOUBLINGS = 48
+_CYCLE = "the commit graph has a cycle"
 # About one commit in this many ends a segment.
 _SEGMENT = 64
 # Long stretches of a line are handled in blocks of this many commits.
@@ -123,11 +122,7 @@ def _climb(start: DataFrame) -> DataFrame:
     )
     latest, moving = durable_counted(latest, ~F.col("arrived"), "climb")
     finished = latest.where("arrived")
-    rounds = 0
     while moving:
-        rounds += 1
-        if rounds > _MAX_DOUBLINGS:
-            raise RuntimeError("the commit graph has a cycle")
         pending = latest.where("not arrived")
         target = finished.unionByName(pending).select(
             "repo",
@@ -144,7 +139,10 @@ def _climb(start: DataFrame) -> DataFrame:
             (F.col("distance") + F.col("next_distance")).alias("distance"),
             F.col("next_arrived").alias("arrived"),
         )
-        latest, moving = durable_counted(moved, ~F.col("arrived"), "climb")
+        latest, left = durable_counted(moved, ~F.col("arrived"), "climb")
+        if left == moving:
+            raise RuntimeError(_CYCLE)  # without a cycle, some rows arrive in every round
+        moving = left
         finished = finished.unionByName(latest.where("arrived"))
     return finished.select("repo", "sha", "top", "distance")
 
@@ -154,18 +152,15 @@ def _heavy_lines(segments: DataFrame) -> DataFrame:
     state = segments.select(
         "repo", "segment", F.col("parent_segment").alias("ancestor"), F.col("length").alias("weight")
     )
-    moving, rounds = True, 0
-    while moving:
-        rounds += 1
-        if rounds > _MAX_DOUBLINGS:
-            raise RuntimeError("the commit graph has a cycle")
+    moving = None
+    while moving != 0:
         # Weights cover all descendants fewer than 2^k links away. Those further away, up to
         # twice as far, are below the descendants that have this segment as 2^k-th ancestor.
         pending = state.where("ancestor is not null")
         gained = pending.groupBy("repo", F.col("ancestor").alias("segment")).agg(F.sum("weight").alias("gain"))
         further = state.select("repo", F.col("segment").alias("ancestor"), F.col("ancestor").alias("next_ancestor"))
         moved = state.join(further, ["repo", "ancestor"], "left").join(gained, ["repo", "segment"], "left")
-        state, moving = durable_counted(
+        state, left = durable_counted(
             moved.select(
                 "repo",
                 "segment",
@@ -175,6 +170,9 @@ def _heavy_lines(segments: DataFrame) -> DataFrame:
             F.col("ancestor").isNotNull(),
             "weights",
         )
+        if left and left == moving:
+            raise RuntimeError(_CYCLE)
+        moving = left
     child = segments.join(state.select("repo", "segment", "weight"), ["repo", "segment"]).where(
         "parent_segment is not null"
     )

@@ -105,9 +105,11 @@ def test_parent_order_does_not_change_results(spark, rows):
 
 
 def test_cycle_is_reported(spark):
-    edges = spark.createDataFrame([("r", 1, 2), ("r", 2, 1)], COMMITS)
-    with pytest.raises(RuntimeError):
-        H.place_commits(edges)
+    ring = [("r", i, (i + 1) % 3) for i in range(3)]
+    branched = [("s", i, (i + 1) % 3) for i in range(3)] + [("s", 10 + i, i) for i in range(3)]
+    for edges in (ring, branched):
+        with pytest.raises(RuntimeError, match="cycle"):
+            H.place_commits(spark.createDataFrame(edges, COMMITS))
 
 
 def test_too_few_rounds_raise_instead_of_cutting_off(spark):
