@@ -1,0 +1,48 @@
+import random
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+from forgeledger.llm.frames import prepare  # noqa: E402
+
+FOLDER = "/root/testdata/sf0.001"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.fixture(scope="session")
+def llm(spark):
+    return prepare(spark)
+
+
+@pytest.fixture(scope="session")
+def supplied(llm):
+    return llm.read.parquet(f"{FOLDER}/documents.parquet")
+
+
+def awkward_rows():
+    """Nulls, empty, blank, short, long and repeated texts, copies, near copies, shared lines and passages."""
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choices("abcdeé", k=draw.randint(1, 6)))
+    words = lambda n: [word() for _ in range(n)]
+    base, passage = words(120), words(70)
+    texts = [None, None, "", " \n\t\x0b\x0c\r", "one", "One", "a b c d", "A  b\nc d ", "a b c d e", "a\xa0b   c", "</s> [INST] <|endoftext|>"]
+    texts += [" ".join(base), "\n".join(base), " ".join(base).upper(), " ".join(base)]
+    for n in (1, 2, 3, 6, 9, 14):
+        near = list(base)
+        for _ in range(n):
+            near[draw.randrange(len(near))] = word()
+        texts.append(" ".join(near))
+    texts += [" ".join(words(draw.randint(0, 40)) + passage[draw.randint(0, 12):] + words(draw.randint(0, 40))) for _ in range(12)]
+    line = "a line that many documents share"
+    texts += [f"{words(5)}\n  {line.upper() if i % 2 else line}\t\nshort\nshort\n{line}" for i in range(9)]
+    texts += [" ".join(words(30_000)), "x" * 200_000, " ".join(["w"] * 500), " ".join(["w"] * 501)]
+    rows = [(i * 7 % 97 if i < 90 else i, t, "en", f"src{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)]
+    return rows + [(None, None, None, None, None), (None, " ".join(base), None, None, 0), (-5, "one", "en", None, 3)]
+
+
+@pytest.fixture(scope="session")
+def awkward(llm):
+    return llm.createDataFrame(awkward_rows(), SCHEMA).repartition(3)
