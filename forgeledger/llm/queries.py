@@ -4,20 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, lines, near, spans
+from . import chat, decontaminate, exact, lines, near, packing, quality, spans, tokencount, warc
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write(table(spark, folder, "pages"))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    controls = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    vocabulary = str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    formatted = chat.format_conversations(turns.unionByName(controls), *vocabulary)
+    return chat.digests(chat.read_turns(formatted, *vocabulary))
+
+
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return spans.repeated_spans_removed(table(spark, folder, "documents")).select(
-        "doc_id", "n_words", "n_removed", _alias("kept_text_sha256", "kept_sha256")
+        "doc_id", "n_words", "n_removed", F.col("kept_text_sha256").alias("kept_sha256")
     )
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, folder, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.deduplicate(table(spark, folder, "documents"))
 
@@ -28,14 +57,12 @@ def op8_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.shared_lines_removed(table(spark, folder, "documents")).select(
-        "doc_id", "n_lines", "n_dropped", _alias("kept_text_sha256", "kept_sha256")
+        "doc_id", "n_lines", "n_dropped", F.col("kept_text_sha256").alias("kept_sha256")
     )
 
 
-def _alias(column: str, name: str):
-    from pyspark.sql import functions as F
-
-    return F.col(column).alias(name)
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 _OP7_SQL = r"""
@@ -80,8 +107,33 @@ select d.doc_id, len(words) as n_words, coalesce(n, 0) as n_removed,
               else list_filter(words, lambda x, i: not list_contains(places, i)) end, ' ')) as kept_sha256
 from d left join gone on gone.doc_id = d.doc_id"""
 
-_QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_substring_dedup, op7_exact_dedup, op8_minhash_dedup, op9_line_dedup)}
-_ORACLES: dict[str, str] = {"op4_substring_dedup": _OP4_SQL, "op7_exact_dedup": _OP7_SQL, "op9_line_dedup": _OP9_SQL}
+_OP3_SQL = r"""
+with c as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+f as (
+    select *, length(role) + 1 + length(regexp_replace(text, '([<\[])(\\*)(/?(s>|INST\]))', '\1\\\2\3', 'g'))
+              + case when role = 'assistant' then 7 else 20 end as chars
+    from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+       length(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(chars) as bigint) as formatted_chars
+from f group by conv_id"""
+
+_QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_warc, op3_chat_formatting, op4_substring_dedup, op5_packing, op6_token_counts,
+        op7_exact_dedup, op8_minhash_dedup, op9_line_dedup, op10_decontamination,
+    )
+}
+_ORACLES: dict[str, str] = {
+    "op3_chat_formatting": _OP3_SQL,
+    "op4_substring_dedup": _OP4_SQL,
+    "op7_exact_dedup": _OP7_SQL,
+    "op9_line_dedup": _OP9_SQL,
+}
 
 
 def queries() -> dict[str, Query]:

@@ -1,0 +1,74 @@
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from forgeledger.llm import chat
+
+VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+
+
+def awkward():
+    draw = random.Random(2)
+    parts = ["<s>", "</s>", "[INST]", "[/INST]", "\\", "<", "[", "/", "s>", "INST]", "\n", " ", "é😀", "a", "<|endoftext|>", "\x00", "n"]
+    rows = []
+    for c in range(30):
+        for t in range(draw.randint(1, 6)):
+            role = draw.choice(["user", "assistant", "system", None, "", "assistant\n", "a\\nb<s>", "x</s>\n[INST]"])
+            rows.append((c, t, role, draw.choice([None, "", "".join(draw.choices(parts, k=draw.randint(1, 25)))])))
+    rows += [(50, t, "assistant" if t % 2 else "user", f"turn {t} " * 50) for t in range(700)]
+    return rows + [(None, 0, "user", "a"), (None, None, "assistant", "b"), (60, 1, "user", "same"), (60, 1, "user", "same"), (61, 0, "assistant", "long " * 60_000)]
+
+
+def brute(rows):
+    groups = defaultdict(list)
+    for c, t, r, x in rows:
+        groups[c].append((t is not None, t or 0, r or "", x or ""))
+    out = []
+    for c, turns in groups.items():
+        turns.sort()
+        text = "".join(f"{r}\n{x}\n" for _, _, r, x in turns)
+        loss = "".join(x for _, _, r, x in turns if r == "assistant")
+        out.append((c, len(turns), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_round_trip(llm, rows):
+    turns = llm.createDataFrame(awkward(), SCHEMA).withColumns({"ids": F.lit(1), "formatted": F.lit("x")}).repartition(4)
+    made = chat.format_conversations(turns, *VOCABULARY)
+    found = chat.digests(chat.read_turns(made, *VOCABULARY))
+    assert rows(found, "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256") == brute(awkward())
+
+
+def test_control_strings_stand_only_where_turns_begin_and_end(llm):
+    made = chat.format_conversations(llm.createDataFrame(awkward(), SCHEMA), *VOCABULARY)
+    for r in made.collect():
+        inner = r.formatted[3:-4]
+        if inner.startswith("[INST]"):
+            inner = inner[6:-7]
+        assert not re.search(r"</?s>|\[/?INST\]", inner)
+        reserved = [i for i in r.ids if i >= 50257]
+        assert len(reserved) == (4 if "[INST]" in r.formatted[:9] else 2)
+
+
+def test_offsets_are_running_sums(llm):
+    made = chat.format_conversations(llm.createDataFrame(awkward(), SCHEMA), *VOCABULARY).where("conv_id = 50").orderBy("position").collect()
+    token = char = 0
+    for n, r in enumerate(made):
+        assert (r.position, r.first_token, r.first_char) == (n, token, char)
+        token, char = token + len(r.ids), char + len(r.formatted)
+
+
+@pytest.mark.parametrize("text", ["<s>", "<\\s>", "<\\\\/s>", "[INST][/INST]", "[\\/INST]", "<<s>>", "<INST]"])
+def test_escape(text):
+    assert chat.unescape(chat.escape(text)) == text != chat.escape(text)
+
+
+def test_empty(llm):
+    made = chat.format_conversations(llm.createDataFrame([], SCHEMA), *VOCABULARY)
+    assert chat.digests(chat.read_turns(made, *VOCABULARY)).count() == 0

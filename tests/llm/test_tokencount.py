@@ -1,0 +1,47 @@
+import random
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from forgeledger.llm import tokencount
+
+PATH = str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
+def brute(docs, tokenizer):
+    n = lambda t: len(tokenizer.encode(t or "", add_special_tokens=False).ids)
+    return sorted(((d, len((t or "").encode()), n(t), n(t) > 2048) for d, t in docs), key=repr)
+
+
+def test_against_the_library(awkward, supplied, rows, tokenizer):
+    for docs in (awkward, supplied):
+        found = tokencount.token_counts(docs.withColumns({"n": F.lit(1), "word": F.lit("x")}), PATH)
+        assert rows(found) == brute([(r.doc_id, r.text) for r in docs.collect()], tokenizer)
+
+
+def test_words_count_alone(tokenizer):
+    draw, known = random.Random(8), tokencount.WordTokens(PATH)
+    atoms = [" ", "\n", "\t", "\x0b", "\x0c", "\r", "\xa0", "　", "\x1c", "\x85", "a", "Word", "'S", "don't", "I'll", "12", "é", "é", "́", "Σ", "ΑΣ",
+             "İ", "ß", "ﬁ", "😀", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", ".", ",", "!!", "_", "-", "日本", "​", "\x00"]
+    for _ in range(4000):
+        text = "".join(draw.choices(atoms, k=draw.randint(0, 12)))
+        assert sum(known[w] for w in tokencount.words(text)) == len(tokenizer.encode(text, add_special_tokens=False).ids), repr(text)
+
+
+def test_forgetting_changes_nothing(supplied, rows, tokenizer, monkeypatch):
+    monkeypatch.setattr(tokencount, "REMEMBERED", 50)
+    monkeypatch.setattr(tokencount, "COUNTED", 40)
+    known = tokencount.WordTokens(PATH).with_frequent({b"the": 1})
+    for r in supplied.limit(40).collect():
+        assert sum(known[w] for w in tokencount.words(r.text)) == len(tokenizer.encode(r.text, add_special_tokens=False).ids)
+
+
+def test_empty(awkward):
+    assert tokencount.token_counts(awkward.limit(0), PATH).count() == 0
