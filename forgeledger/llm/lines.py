@@ -123,6 +123,6 @@ def shared_lines_removed(docs: DataFrame, bits: int | None = None) -> DataFrame:
     def suspected(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array([i is not None and bool(s) for i, s in zip(batch.column(0).to_pylist(), suspects(batch), strict=True)]))
 
-    touched = per_batch(docs, suspected, "doc_id bigint, text string").join(lost, "doc_id", "left")
+    touched = per_batch(docs, suspected, "doc_id bigint, text string").join(lost.hint("merge"), "doc_id", "left")
     changed = per_batch(touched, lambda b: finish(*(b.column(i).to_pylist() for i in range(3))), shape)
     return per_batch(docs, untouched, shape).unionAll(changed)

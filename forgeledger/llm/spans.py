@@ -162,7 +162,7 @@ def repeated_spans_removed(docs: DataFrame, bits: int | None = None) -> DataFram
         .groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "label", "place.start", "place.n")).alias("places"))
     )
     windows = durable(
-        per_batch(docs.join(places, "doc_id"), _windows, "anchor bigint, label bigint, nth bigint, window bigint, doc_id bigint"),
+        per_batch(docs.join(places.hint("merge"), "doc_id"), _windows, "anchor bigint, label bigint, nth bigint, window bigint, doc_id bigint"),
         "branching-windows",
     )
     firsts = durable(windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
@@ -188,5 +188,5 @@ def repeated_spans_removed(docs: DataFrame, bits: int | None = None) -> DataFram
 
         return rows
 
-    touched = per_batch(docs, split(True), "doc_id bigint, text string").join(lost, "doc_id", "left")
+    touched = per_batch(docs, split(True), "doc_id bigint, text string").join(lost.hint("merge"), "doc_id", "left")
     return per_batch(docs, split(False), shape).unionAll(per_batch(touched, _remaining, shape))
