@@ -21,7 +21,7 @@ ORACLE_SQL = None
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The documents whose ids are kept, with all their columns."""
     ids = kept.where("kept").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_doc_id"]), "left_semi")
+    return docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids["kept_doc_id"]), "left_semi")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
