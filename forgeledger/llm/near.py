@@ -202,9 +202,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
         "partnered",
     )
     # Repeated rows of an id must not enter a block twice.
-    texts = docs.join(partnered.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.join(partnered.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     links = (
-        partnered.join(texts, "doc_id").select("posting", "block", "doc_id", "text")
+        partnered.join(texts.hint("merge"), "doc_id").select("posting", "block", "doc_id", "text")
         .repartition("posting", "block").sortWithinPartitions("posting", "block")
         .mapInArrow(_confirmed, "a bigint, b bigint")
     )
