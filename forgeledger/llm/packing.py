@@ -29,7 +29,10 @@ LENGTH = 2048
 END_ID = 1
 GROUP_TOKENS = 1 << 23
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
+
+
+_MARKS = ".,;:!?"
 
 
 class _Apart(Exception):
@@ -40,7 +43,7 @@ class PieceIds(dict):
     """Ids, as little-endian bytes, of a space and the letters up to the next space.
 
     A byte-level tokenizer of this kind starts a new piece at a space between two characters that are not
-    blank, so such a text's ids are its parts' ids one after another.
+    blank, so such a text's ids are its parts' ids one after another. The same holds at a single line end.
     """
 
     def __init__(self, path: str):
@@ -48,16 +51,30 @@ class PieceIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.line_end = self.encode("\n")
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        if not part or part[0].isspace() or part[-1].isspace():
+        """Ids of a space and ``part``; a key that begins with a space, as no part does, asks for what follows it alone."""
+        raw = part[:1] == " "
+        rest = part[1:] if raw else part
+        if not rest or rest[0].isspace() or rest[-1].isspace():
             raise _Apart
+        head = rest.rstrip(_MARKS)
+        if "\n" in rest:
+            # A line end between two characters that are not blank is a piece of its own.
+            first, *others = rest.split("\n")
+            found = b"".join([self[" " + first if raw else first], *(self.line_end + self[" " + x] for x in others)])
+        elif head != rest and head.isalpha():
+            # Letters and the marks after them are separate pieces.
+            found = self[" " + head if raw else head] + self[" " + rest[len(head) :]]
+        else:
+            found = self.encode(rest if raw else " " + rest)
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self[part] = self.encode(" " + part)
+        self[part] = found
         return found
 
     def of(self, text: str) -> bytes:
