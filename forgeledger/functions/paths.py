@@ -8,6 +8,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .requirements import WHITESPACE
+
 STRATEGIES = ("flatten", "prefix", "full_path", "custom")
 
 # Rule texts of the name check, in the order in which the rules apply.
@@ -114,7 +116,7 @@ def name_error(name: Column) -> Column:
 
 
 def is_blank_path(path: Column) -> Column:
-    return path.isNull() | (F.trim(F.regexp_replace(path, r"\s+", " ")) == "")
+    return path.isNull() | (F.trim(path, F.lit(WHITESPACE)) == "")
 
 
 def normalised_path(path: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.requirements import lines_of, stripped
+from ..functions.documents import json_object
 from .grouping import join_null_safe, order_in_group, spread_small
 
 # File names, suffixes and report texts.
@@ -105,7 +106,7 @@ def manifest_read(files: DataFrame, text: str = "value") -> DataFrame:
     """Parsed manifests. Text that is not a JSON object is flagged and keeps its row."""
     rest = [c for c in files.columns if c != text]
     # Each text is parsed once: the generator keeps the result as one value.
-    valid = F.try_parse_json(F.col(text)).isNotNull()
+    valid = json_object(F.col(text)).isNotNull()
     read = F.struct(valid.alias("manifest_valid"), F.from_json(F.col(text), schemas.MANIFEST).alias("manifest"))
     rows = spread_small(files).select(*rest, F.inline(F.array(read)))
     return rows.withColumn("manifest", F.when(F.col("manifest_valid"), F.col("manifest")))

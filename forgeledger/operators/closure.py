@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,7 @@ from .deps import requirement_edges
 _SCHEMA = "package STRING, level BIGINT, requested_as STRING, version_spec STRING, status STRING, version STRING, place BINARY"
 
 
-def resolve(
-    roots: DataFrame, packages: DataFrame, edges: DataFrame | None = None, max_levels: int = 1_000
-) -> DataFrame:
+def resolve(roots: DataFrame, packages: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Every package reachable from ``roots(name, version_spec, ordinal)``, once.
 
     ``packages(name, version, requires)`` holds the latest version of every package; its
@@ -53,12 +53,10 @@ def resolve(
         frontier, found = durable_counted(frontier, F.lit(True), "frontier")
         if not found:
             break
-        if level >= max_levels:
-            raise RuntimeError(f"closure not complete after {max_levels} levels")
         visited = frontier if visited is None else visited.unionByName(frontier)
         if level % 8 == 7:
             visited = durable(visited, "visited")
-        step = F.to_binary(F.lpad(F.hex(F.col("edge_no").cast("long")), 8, "0"), F.lit("hex"))
+        step = F.to_binary(F.lpad(F.hex(F.col("edge_no").cast("long")), 16, "0"), F.lit("hex"))
         # Each package is in the frontier once; a hot package's edges are split by adaptive
         # execution, and the group above combines copies of a hot dependency before shuffling.
         reached = (
@@ -77,11 +75,11 @@ def resolve(
     return visited
 
 
-def closure(roots: DataFrame, edges: DataFrame, max_levels: int = 1_000) -> DataFrame:
+def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(package, level) reachable from ``roots(package)`` over ``edges(package, needs)``."""
     frontier = roots.select("package").distinct()
     visited = None
-    for level in range(max_levels + 1):
+    for level in itertools.count():
         if visited is not None:
             frontier = frontier.join(visited.select("package"), "package", "left_anti")
         marked, found = durable_counted(frontier.withColumn("level", F.lit(level).cast("long")), F.lit(True), "frontier")
@@ -91,4 +89,3 @@ def closure(roots: DataFrame, edges: DataFrame, max_levels: int = 1_000) -> Data
         if level % 8 == 7:
             visited = durable(visited, "visited")
         frontier = marked.join(edges, "package").select(F.col("needs").alias("package")).distinct()
-    raise RuntimeError(f"closure not complete after {max_levels} levels")

@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from ..session import durable, durable_counted
 
-MAX_ROUNDS = 256
 _CYCLE = "the commit graph has a cycle"
 # About one commit in this many ends a segment.
 _SEGMENT = 64
@@ -190,7 +189,7 @@ def _block(depth: str) -> Column:
     return F.floor(F.col(depth) / _LINK_BLOCK).cast("long")
 
 
-def reach(history: History, heads: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def reach(history: History, heads: DataFrame) -> DataFrame:
     """(repo, head, line, entry): from ``head`` every commit of ``line`` at depth >= entry.
 
     ``heads`` has (repo, head). Heads that are not in the history have no rows. The number of
@@ -202,11 +201,9 @@ def reach(history: History, heads: DataFrame, max_rounds: int = MAX_ROUNDS) -> D
     found = start.join(heads.select("repo", "head").distinct(), ["repo", "head"], "left_semi").select(
         "repo", "head", "line", "entry", F.lit(None).cast("long").alias("before"), F.lit(True).alias("fresh")
     )
-    moving, rounds = True, 0
+    moving = True
+    # Entries only ever decrease, so the loop ends by itself.
     while moving:
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"reachability did not close in {max_rounds} rounds; raise max_rounds")
         # Only the newly covered stretch [entry, before) of a line can lead anywhere new.
         front = found.where("fresh").select("repo", "head", F.col("line").alias("from_line"), "entry", "before")
         # Lines without links drop out here, the others spread over their blocks.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.documents import json_object
 from .grouping import spread_small, with_previous
 
 # The message of a finished sync, alert rules, secret patterns, error classes.
@@ -74,10 +75,7 @@ def log_scan(lines: DataFrame, extras: Mapping[str, str], text: str = "value") -
     """
     # The generator keeps the parsed line as one value; as a plain column it would be parsed
     # again for every member below.
-    parsed = spread_small(lines).select("*", F.explode(F.array(F.try_parse_json(F.col(text)))).alias("record"))
-    # Arrays and bare values are JSON but no log line.
-    is_object = F.schema_of_variant("record").startswith("OBJECT")
-    parsed = parsed.withColumn("record", F.when(is_object, F.col("record")))
+    parsed = spread_small(lines).select("*", F.explode(F.array(json_object(F.col(text)))).alias("record"))
     fields = {**schemas.LOG_FIELDS, **extras}
     rest = [c for c in lines.columns if c != text]
     members = [

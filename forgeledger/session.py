@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Settings every operator relies on. All of them can be changed on a running session.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    # Of a repeated member of a JSON object the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Hot join keys are split at run time, also where the split costs one more shuffle.

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,19 +48,30 @@ def object_listing(spark: SparkSession, path: str, pattern: str = "*" + ARCHIVE_
     )
 
 
-def object_contents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Objects with their bytes. Objects of 2 GB and more cannot be read as one value: their
-    content is null and ``too_large`` is set, so they are reported instead of failing the job."""
-    limit = 2_000_000_000
-    listed = _objects(spark, path, pattern)
-    small = listed.where(F.col("length") < limit).select("path", "length", "content")
-    large = listed.where(F.col("length") >= limit).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    return small.unionByName(large).select(
-        _relative(F.col("path"), path).alias("key"),
-        F.col("length").alias("size_bytes"),
-        (F.col("length") >= limit).alias("too_large"),
-        "content",
-    )
+def _sha256(chunk: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for path in batch.column("path").to_pylist():
+                scheme, colon, rest = path.partition(":")
+                rest = rest if rest.startswith("//") else "//" + rest
+                store, name = pyarrow.fs.FileSystem.from_uri(scheme + colon + quote(rest, safe="/:@"))
+                digest = hashlib.sha256()
+                with store.open_input_stream(name, compression=None) as stream:
+                    while data := stream.read(chunk):
+                        digest.update(data)
+                digests.append(digest.hexdigest())
+            yield pa.record_batch({"path": batch.column("path"), "size_bytes": batch.column("size_bytes"), "sha256": pa.array(digests, pa.string())})
+
+    return run
+
+
+def object_digests(spark: SparkSession, path: str, pattern: str = "*", chunk: int = 1 << 22, tasks: int | None = None) -> DataFrame:
+    """SHA-256 of objects of any size: tasks open each object themselves and read it ``chunk`` bytes at a time."""
+    listed = _objects(spark, path, pattern).select("path", F.col("length").alias("size_bytes"))
+    dealt = listed.repartition(tasks or spark.sparkContext.defaultParallelism, "path")
+    digests = dealt.mapInArrow(_sha256(chunk), "path string, size_bytes bigint, sha256 string")
+    return digests.select(_relative(F.col("path"), path).alias("key"), "size_bytes", "sha256")
 
 
 def sidecars(spark: SparkSession, path: str) -> DataFrame:

@@ -217,3 +217,12 @@ def test_dedupe_and_unreferenced(spark, rows):
     df = spark.createDataFrame([("a", "h", 5), ("b", "h", 5), ("c", "g", 7)], "oid string, sha256 string, size_bytes long")
     assert rows(A.lfs_dedupe(df)) == [("h", 2, 5)]
     assert rows(A.lfs_unreferenced(df, df.where("oid = 'a'")), "oid") == [("b",), ("c",)]
+
+
+def test_only_one_json_object_is_a_manifest(spark):
+    good = ['{"type":"full"}', ' {"type":"x","type":"full"} ', '{"type":"full","lfs_object_count":2}']
+    bad = ['{"type":"full"} garbage', "[1,2]", "5", '"a"', "null", "", '{"a":1}{"b":2}', '{"a":1},{"b":2}', '{"a":1},null', "{", None]
+    files = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "archive int, value string")
+    found = {r.archive: (r.manifest_valid, r.manifest.type if r.manifest else None) for r in A.manifest_read(files).collect()}
+    assert all(found[i] == (True, "full") for i in range(len(good)))
+    assert all(found[i + len(good)] == (False, None) for i in range(len(bad))), found

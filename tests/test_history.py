@@ -77,7 +77,7 @@ def test_two_branches_merging_into_each_other_take_few_rounds(spark, rows):
         edges += [("r", 2 * i, 2 * i - 2, 0), ("r", 2 * i, 2 * i - 1, 1), ("r", 2 * i + 1, 2 * i - 1, 0), ("r", 2 * i + 1, 2 * i, 1)]
     history = H.place_commits(spark.createDataFrame(edges, COMMITS + ", parent_no int"))
     heads = spark.createDataFrame([("r", 399), ("r", 398)], "repo string, head long")
-    assert H.reach(history, heads, max_rounds=4).count() == 4
+    assert H.reach(history, heads).count() == 4
     assert rows(H.ancestor_counts(history, heads)) == [("r", 398, 399), ("r", 399, 400)]
 
 
@@ -112,13 +112,6 @@ def test_cycle_is_reported(spark):
             H.place_commits(spark.createDataFrame(edges, COMMITS))
 
 
-def test_too_few_rounds_raise_instead_of_cutting_off(spark):
-    edges = [("r", 0, None)] + [("r", i, i - 1) for i in range(1, 4)] + [("r", 9, 1), ("r", 9, 3)]
-    history = H.place_commits(spark.createDataFrame(edges, COMMITS))
-    with pytest.raises(RuntimeError):
-        H.reach(history, spark.createDataFrame([("r", 9)], "repo string, head long"), max_rounds=1)
-
-
 def test_side_branches_do_not_cut_the_main_line(spark, rows):
     # A side commit with a greater number forks off and is merged back at every sixth commit.
     main = [("r", 0, None, 0)] + [("r", i, i - 1, 0) for i in range(1, 600)]
@@ -126,7 +119,7 @@ def test_side_branches_do_not_cut_the_main_line(spark, rows):
     back = [("r", i + 4, 10_000 + i, 1) for i in range(0, 590, 6)]
     history = H.place_commits(spark.createDataFrame(main + side + back, COMMITS + ", parent_no int"))
     heads = spark.createDataFrame([("r", 599)], "repo string, head long")
-    reached = H.reach(history, heads, max_rounds=3)
+    reached = H.reach(history, heads)
     assert reached.count() == 1 + len(side)
     assert rows(H.ancestor_counts(history, heads)) == [("r", 599, 600 + len(side))]
 

@@ -221,3 +221,8 @@ def test_routing_and_overrides(spark, rows):
     config = spark.createDataFrame([("a/x", 5, None)], "path string, depth int, mode string")
     got = rows(S.config_overrides(df, config, ["path"], {"depth": 0, "mode": "mirror"}))
     assert got == [("a/b/c", 0, "mirror"), ("a/x", 5, "mirror"), ("z", 0, "mirror")]
+
+
+def test_blank_paths_in_any_white_space(spark):
+    df = spark.createDataFrame([(None,), ("",), (" \t",), ("\u00a0\u2003",), ("a",), ("\u200b",)], "path string")
+    assert [r[0] for r in df.select(P.is_blank_path(df.path)).collect()] == [True, True, True, True, False, False]
