@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.requirements import lines_of, stripped
 from ..functions.documents import json_object
-from .grouping import join_null_safe, order_in_group, spread_small
+from .grouping import join_null_safe, order_in_group
 
 # File names, suffixes and report texts.
 ARCHIVE_SUFFIX = ".tar.gz"
@@ -108,7 +108,7 @@ def manifest_read(files: DataFrame, text: str = "value") -> DataFrame:
     # Each text is parsed once: the generator keeps the result as one value.
     valid = json_object(F.col(text)).isNotNull()
     read = F.struct(valid.alias("manifest_valid"), F.from_json(F.col(text), schemas.MANIFEST).alias("manifest"))
-    rows = spread_small(files).select(*rest, F.inline(F.array(read)))
+    rows = files.select(*rest, F.inline(F.array(read)))
     return rows.withColumn("manifest", F.when(F.col("manifest_valid"), F.col("manifest")))
 
 

@@ -12,7 +12,7 @@ from .. import schemas
 from ..functions import requirements as R
 from ..functions.manifests import STRUCTURED, structured_entries
 from ..functions.versions import satisfies
-from .grouping import order_in_group, spread_small
+from .grouping import order_in_group
 
 # Manifest file names per language; "*.ext" stands for any name with that ending.
 LANGUAGE_MANIFESTS = {
@@ -83,7 +83,7 @@ def requirements_parse(files: DataFrame, text: str = "text", manifest: str = "ma
     """Dependency rows of line-based manifests, with the line number each came from."""
     supported = F.lower(base_name(F.col(manifest))).isin(*LINE_MANIFESTS)
     rest = [c for c in files.columns if c != text]
-    kept = spread_small(files.where(supported))
+    kept = files.where(supported)
     lines = kept.select(*rest, F.posexplode(R.lines_of(F.col(text))).alias("line_no", "line"))
     lines = lines.withColumn("line", R.stripped(F.col("line"))).where(R.is_requirement(F.col("line")))
     return lines.select(*rest, "line_no", F.inline(R.parse_line(F.col("line"))))
@@ -99,7 +99,6 @@ def structured_manifest_parse(
     """
     keys = list(keys)
     kept = files.where(F.lower(base_name(F.col(manifest))).isin(*STRUCTURED)).select(*keys, manifest, text)
-    kept = spread_small(kept)
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -162,7 +161,7 @@ def registry_flatten(documents: DataFrame, text: str = "value") -> DataFrame:
     # The generator keeps the parsed document as one value; as a plain column it would be
     # parsed again for every member below.
     doc = F.from_json(F.col(text), schemas.REGISTRY_JSON)
-    rows = spread_small(documents.select(text)).select(F.explode(F.array(doc)).alias("doc")).where("doc.info is not null")
+    rows = documents.select(text).select(F.explode(F.array(doc)).alias("doc")).where("doc.info is not null")
 
     def last(kind: str) -> Column:
         of_kind = F.filter(F.col("doc.urls"), lambda u: u["packagetype"] == kind)

@@ -1,40 +1,26 @@
-"""Ordered work inside groups, for groups of any size.
+"""Ordered work inside groups of any size, by one plan whatever the size.
 
-A window partitioned by a key sorts each key in one task. That is the right plan for ordinary
-keys and the wrong one for a key that holds a third of the table. The helpers here count the
-groups first (a partial aggregate, so the counting itself never moves the rows), send ordinary
-groups through a plain window, and range-partition the large ones over their full sort order.
+A window partitioned by a key sorts each key in one task, which fails for a key that holds a third
+of the table. The helpers here range-partition the rows once over (keys, order), so that a large
+group spreads over as many slices as it needs, number each slice as it streams by, and write it
+out. A group can reach over slices only at their ends; what it needs to know of the slices
+before it is one row a slice. Slices are as many as ``spark.sql.shuffle.partitions``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable, durable_counted, max_group_rows
+from ..session import durable
 
-_SLICE = "__slice"
-_SMALL_BYTES = 256 * 1024 * 1024
-_ROW_BYTES = 16
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The planner's estimate of the size of ``df``. Nothing is run for it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give work that is heavy per row a task per core when its input is small.
-
-    A small table is often one row group and would be read, parsed and matched by one task.
-    The planner's size estimate decides; larger inputs have enough tasks of their own and
-    are never shuffled for this.
-    """
-    if df.isStreaming or estimated_bytes(df) > _SMALL_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+_EXTRA = "`__slice` int, `__nth` bigint, `__head` boolean, `__last` boolean"
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -50,58 +36,93 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*own.values())
 
 
-def _split_large(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary groups, and rows of groups above ``limit`` (None when there are none).
-
-    At most rows/limit groups can be above the limit, which bounds the broadcast below. An
-    input that is estimated too small for such a group is not counted.
-    """
-    if estimated_bytes(df) <= limit * _ROW_BYTES:
-        return df, None
-    if keys:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    else:
-        sizes = df.agg(F.count(F.lit(1)).alias("__n"))
-    large, found = durable_counted(sizes.where(F.col("__n") > limit), F.lit(True), "large-groups")
-    if not found:
-        return df, None
-    if not keys:
-        return df.limit(0), df
-    large = F.broadcast(large.select(*keys))
-    return join_null_safe(df, large, keys, "left_anti"), join_null_safe(df, large, keys, "left_semi")
-
-
-def _slices(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Rows range-partitioned on (keys, order), each tagged with its slice number.
+def _differ(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Where two columns differ; nulls equal each other, and so do values that are no numbers."""
+    unequal = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+    if pa.types.is_floating(a.type):
+        unequal = unequal & ~pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False).to_numpy(zero_copy_only=False)
+    nulls = [pc.is_null(x).to_numpy(zero_copy_only=False) for x in (a, b)]
+    return unequal | (nulls[0] != nulls[1])
+
+
+def _shifted(column: pa.Array, before: pa.Array | None) -> pa.Array:
+    """The column one row later, with the last value of ``before`` in front."""
+    first = pa.nulls(1, column.type) if before is None else before.slice(len(before) - 1)
+    return pa.concat_arrays([first, column.slice(0, len(column) - 1)])
+
+
+def _marker(keys: list[str], lagged: dict[str, str]):
+    """Number the rows of one sorted slice inside their groups and attach values of the row before."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, before, held, reached, head = TaskContext.get().partitionId(), None, None, 0, True
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for key in keys:
+                own = batch.column(key)
+                new |= _differ(own, _shifted(own, before and before.column(key)))
+            if before is None:
+                new[0] = False
+            at = np.arange(n)
+            began = np.maximum.accumulate(np.where(new, at, -1))
+            nth = np.where(began < 0, reached + at + 1, at - began + 1)
+            heads = head & (began < 0)
+            names, columns = list(batch.schema.names), list(batch.columns)
+            for column, name in lagged.items():
+                own = batch.column(column)
+                previous = _shifted(own, before and before.column(column))
+                columns.append(pc.if_else(pa.array(new), pa.nulls(n, own.type), previous))
+                names.append(name)
+            columns += [pa.array(np.full(n, number, np.int32)), pa.array(nth), pa.array(heads), pa.array(np.zeros(n, bool))]
+            if held is not None:
+                yield held
+            held = pa.record_batch(columns, [*names, "__slice", "__nth", "__head", "__last"])
+            before, reached, head = batch, int(nth[-1]), bool(heads[-1])
+        if held is not None:
+            last = np.zeros(held.num_rows, bool)
+            last[-1] = True
+            yield held.set_column(held.num_columns - 1, "__last", pa.array(last))
+
+    return run
+
+
+def _slices(df: DataFrame, keys: list[str], order: list[Column], lagged: dict[str, str] | None = None) -> DataFrame:
+    """Rows in slices over (keys, order), each with its slice, its number among its group's rows there,
+    whether that group is the slice's first and whether the row is the slice's last.
 
     Written out once: every later step must see the same slice boundaries.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
-    return durable(ranged.withColumn(_SLICE, F.spark_partition_id()), "slices")
+    lagged = lagged or {}
+    by = [*(F.col(k) for k in keys), *order]
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    shape = ", ".join([*(f"`{n}` {t}" for n, t in types.items()), *(f"`{n}` {types[c]}" for c, n in lagged.items()), _EXTRA])
+    return durable(df.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_marker(keys, lagged), shape), "slices")
+
+
+def _ends(sliced: DataFrame, keys: list[str], values: Column) -> DataFrame:
+    """First and last rows of the slices, and ``values`` of the last ones. ``__turn`` puts first before last."""
+    last = sliced.where("__last").select(*keys, "__slice", F.lit(1).alias("__turn"), values.alias("__values"))
+    first = sliced.where("__head and __nth = 1").select(*keys, "__slice", F.lit(0).alias("__turn"), F.lit(None).alias("__values"))
+    return first.unionAll(last)
+
+
+def _carried(sliced: DataFrame, ends: DataFrame, found: Column) -> DataFrame:
+    """``sliced`` with what its slice's first group has in the slices before, one row a slice."""
+    carried = ends.withColumn("__carried", found).where("__turn = 0").select("__slice", "__carried")
+    return sliced.join(F.broadcast(carried), "__slice", "left")
 
 
 def order_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position") -> DataFrame:
     """Exact 1-based rank of every row inside its group. ``order`` must be a total order."""
-    keys, order = list(keys), list(order)
-    small, large = _split_large(df, keys, max_group_rows(df.sparkSession))
-    result = small.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    if large is None:
-        return result
-    sliced = _slices(large, keys, order)
-    counts = sliced.groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("__n"))
-    # One row per (large group, slice): slices and large groups are both bounded.
-    before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = F.broadcast(
-        counts.select(*keys, _SLICE, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    )
-    local = sliced.withColumn(
-        "__local", F.row_number().over(Window.partitionBy(*keys, _SLICE).orderBy(*order)).cast("long")
-    )
-    ranked = join_null_safe(local, offsets, [*keys, _SLICE]).select(
-        *df.columns, (F.col("__local") + F.col("__before")).alias(name)
-    )
-    return result.unionByName(ranked)
+    keys = list(keys)
+    sliced = _slices(df, keys, list(order))
+    before = Window.partitionBy(*keys).orderBy("__slice", "__turn").rowsBetween(Window.unboundedPreceding, -1)
+    joined = _carried(sliced, _ends(sliced, keys, F.col("__nth")), F.sum("__values").over(before))
+    earlier = F.when(F.col("__head"), F.coalesce("__carried", F.lit(0))).otherwise(0)
+    return joined.select(*df.columns, (F.col("__nth") + earlier).alias(name))
 
 
 def with_previous(
@@ -111,28 +132,11 @@ def with_previous(
 
     To look at the following row, pass the opposite order.
     """
-    keys, order = list(keys), list(order)
-    names = list(columns)
-    small, large = _split_large(df, keys, max_group_rows(df.sparkSession))
-    window = Window.partitionBy(*keys).orderBy(*order)
-    result = small.select("*", *[F.lag(c).over(window).alias(n) for c, n in columns.items()])
-    if large is None:
-        return result
-    sliced = _slices(large, keys, order)
-    window = Window.partitionBy(*keys, _SLICE).orderBy(*order)
-    local = sliced.select(
-        "*",
-        F.lag(F.struct(*names)).over(window).alias("__lag"),
-        F.lead(F.lit(1)).over(window).isNull().alias("__is_last"),
-    )
-    # The last row of each (group, slice) is what the next slice of that group starts from.
-    tails = local.where("__is_last").select(*keys, _SLICE, F.struct(*names).alias("__tail"))
-    step = Window.partitionBy(*keys).orderBy(_SLICE)
-    carried = F.broadcast(tails.select(*keys, _SLICE, F.lag("__tail").over(step).alias("__carry")))
-    joined = join_null_safe(local, carried, [*keys, _SLICE], "left").select(
-        *df.columns, F.coalesce("__lag", "__carry").alias("__prev")
+    keys = list(keys)
+    sliced = _slices(df, keys, list(order), columns)
+    step = Window.partitionBy(*keys).orderBy("__slice", "__turn")
+    joined = _carried(sliced, _ends(sliced, keys, F.struct(*columns)), F.lag("__values").over(step))
+    starts = F.col("__head") & (F.col("__nth") == 1)
+    return joined.select(
+        *df.columns, *[F.when(starts, F.col("__carried")[c]).otherwise(F.col(n)).alias(n) for c, n in columns.items()]
     )
-    return result.unionByName(
-        joined.select(*df.columns, *[F.col("__prev")[c].alias(n) for c, n in columns.items()])
-    )
-

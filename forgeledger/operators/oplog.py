@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.documents import json_object
-from .grouping import spread_small, with_previous
+from .grouping import with_previous
 
 # The message of a finished sync, alert rules, secret patterns, error classes.
 SYNC_COMPLETED = "Repository sync completed"
@@ -75,7 +75,7 @@ def log_scan(lines: DataFrame, extras: Mapping[str, str], text: str = "value") -
     """
     # The generator keeps the parsed line as one value; as a plain column it would be parsed
     # again for every member below.
-    parsed = spread_small(lines).select("*", F.explode(F.array(json_object(F.col(text)))).alias("record"))
+    parsed = lines.select("*", F.explode(F.array(json_object(F.col(text)))).alias("record"))
     fields = {**schemas.LOG_FIELDS, **extras}
     rest = [c for c in lines.columns if c != text]
     members = [
@@ -279,7 +279,7 @@ def retry_backoff_cost(
 def secret_scan(texts: DataFrame, key: str, text: str = "text", patterns: Mapping[str, str] = SECRET_PATTERNS) -> DataFrame:
     """One row per (row, pattern found in its text)."""
     hits = [F.when(F.col(text).rlike(regex), F.lit(name)) for name, regex in patterns.items()]
-    return spread_small(texts.select(key, text)).select(key, F.explode(F.array_compact(F.array(*hits))).alias("pattern"))
+    return texts.select(key, text).select(key, F.explode(F.array_compact(F.array(*hits))).alias("pattern"))
 
 
 def secret_counts(texts: DataFrame, key: str, text: str = "text", patterns: Mapping[str, str] = SECRET_PATTERNS) -> DataFrame:

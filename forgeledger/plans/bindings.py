@@ -296,6 +296,10 @@ class Source:
             self._schemas[name] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(self._schemas[name]).parquet(path)
 
+    def spread(self, name: str) -> DataFrame:
+        """The rows dealt to all cores, for work that is heavy per row: a supplied table is one file of one row group."""
+        return self[name].repartition(self.spark.sparkContext.defaultParallelism)
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{name: self[name] for name in references(text)})
 

@@ -549,7 +549,7 @@ def _(s):
     from {v_archives} where priority <> '5-LOW' or archive_type = 'full'""",
 )
 def _(s):
-    return A.manifest_read(s["v_manifest_text"]).select(
+    return A.manifest_read(s.spread("v_manifest_text")).select(
         "archive", "manifest_valid", "manifest.type", "manifest.repository.head_sha", "manifest.lfs_enabled", "manifest.lfs_object_count"
     )
 
@@ -570,7 +570,7 @@ def _(s):
 )
 def _(s):
     every = s["v_archives"].select(F.col("archive_id").alias("archive"))
-    verdict = A.archive_verdict(every, A.manifest_read(s["v_manifest_text"]), s["v_members"])
+    verdict = A.archive_verdict(every, A.manifest_read(s.spread("v_manifest_text")), s["v_members"])
     return verdict.withColumn("errors", F.array_join("errors", "|"))
 
 
@@ -740,7 +740,7 @@ def _(s):
     union all select repo, manifest, 7, 'plain', '', '', '' from {v_requirement_files} where manifest <> 'poetry.lock'""",
 )
 def _(s):
-    return D.requirements_parse(s["v_requirement_files"]).withColumn("extras", F.array_join("extras", "+"))
+    return D.requirements_parse(s.spread("v_requirement_files")).withColumn("extras", F.array_join("extras", "+"))
 
 
 @query(
@@ -753,7 +753,7 @@ def _(s):
     from {v_structured_files} f join {orders} on o_orderkey = f.repo where o_orderpriority <> '5-LOW'""",
 )
 def _(s):
-    return D.structured_manifest_parse(s["v_structured_files"]).withColumn("extras", F.array_join("extras", "+"))
+    return D.structured_manifest_parse(s.spread("v_structured_files")).withColumn("extras", F.array_join("extras", "+"))
 
 
 @query("dependency_distinct", "select name, version_spec, count(distinct repo) as n_repos from {v_dependencies} group by name, version_spec")
@@ -780,7 +780,7 @@ def _(s):
     case when p_type <> 'PROMO' then 's' else '' end as sdist_sha256 from {v_registry}""",
 )
 def _(s):
-    return D.registry_flatten(s["v_registry_json"]).withColumn("requires", F.array_join("requires", "|"))
+    return D.registry_flatten(s.spread("v_registry_json")).withColumn("requires", F.array_join("requires", "|"))
 
 
 # Major number below 6 and at least the wanted (major, minor); text that is no version constrains nothing.
@@ -845,7 +845,7 @@ _ARTIFACT = "case when p_type in ('SMALL', 'LARGE') then name || '.whl' when p_t
 
 @query("artifact_choice", f"select name, version, {_ARTIFACT} as filename from {{v_registry}}")
 def _(s):
-    return D.artifact_choice(D.registry_flatten(s["v_registry_json"]))
+    return D.artifact_choice(D.registry_flatten(s.spread("v_registry_json")))
 
 
 @query(
@@ -856,7 +856,7 @@ def _(s):
     union all select distinct repo, 1, '' from {{v_requirements}}""",
 )
 def _(s):
-    chosen = D.artifact_choice(D.registry_flatten(s["v_registry_json"])).withColumn("package", F.lower("name"))
+    chosen = D.artifact_choice(D.registry_flatten(s.spread("v_registry_json"))).withColumn("package", F.lower("name"))
     wanted = s["v_requirements"].select("repo", F.lower("name").alias("package"), F.col("l_partkey").alias("id")).distinct()
     return D.offline_requirements(wanted.join(chosen, "package"), [F.col("id")])
 
@@ -885,7 +885,7 @@ def _(s):
     from (select *, event_id % 31 <> 0 and event_id % 37 <> 0 as ok from {v_log}) t""",
 )
 def _(s):
-    scanned = L.log_scan(s["v_log_lines"], {"repository": "STRING", "commits_synced": "BIGINT"})
+    scanned = L.log_scan(s.spread("v_log_lines"), {"repository": "STRING", "commits_synced": "BIGINT"})
     return scanned.withColumn("odd_key", F.try_variant_get("record", "$['odd key']", "string")).drop("record")
 
 
@@ -1065,12 +1065,12 @@ _SECRETS = """select doc_id, 'token' as pattern from {documents} where regexp_ma
 
 @query("secret_scan", _SECRETS)
 def _(s):
-    return L.secret_scan(s["documents"], "doc_id")
+    return L.secret_scan(s.spread("documents"), "doc_id")
 
 
 @query("secret_counts", f"select pattern, count(*) as n_rows from ({_SECRETS}) t group by pattern")
 def _(s):
-    return L.secret_counts(s["documents"], "doc_id")
+    return L.secret_counts(s.spread("documents"), "doc_id")
 
 
 @query(

@@ -20,10 +20,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-# A group larger than this is spread over several tasks before it is ordered.
-GROUP_ROWS_CONF = "forgeledger.maxGroupRows"
-GROUP_ROWS_DEFAULT = 2_000_000
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to an existing session and make sure intermediates have a home."""
@@ -92,6 +88,3 @@ def durable_counted(df: DataFrame, condition: Column, label: str = "step") -> tu
     written = durable(df.observe(seen, F.count_if(condition).alias("n")), label)
     return written, seen.get["n"]
 
-
-def max_group_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(GROUP_ROWS_CONF, str(GROUP_ROWS_DEFAULT)))

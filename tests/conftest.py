@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from forgeledger.session import GROUP_ROWS_CONF, local_session  # noqa: E402
+from forgeledger.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -17,11 +17,13 @@ def spark():
 
 
 @pytest.fixture
-def tiny_groups(spark):
-    """Treat groups of more than seven rows as large, so that small data takes the large path."""
-    spark.conf.set(GROUP_ROWS_CONF, "7")
+def many_slices(spark):
+    """Keep range partitions apart, so that groups of small data reach over several of them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
     yield spark
-    spark.conf.unset(GROUP_ROWS_CONF)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 @pytest.fixture

@@ -53,8 +53,8 @@ def test_equal_times_keep_the_greater_key_and_stores_are_separate(spark):
     assert sorted((r.store or "", r.key[1:3]) for r in decided.where("delete").collect()) == [("s", "00"), ("s", "01")]
 
 
-def test_large_counts_take_the_ranking_path(tiny_groups):
-    df = aged(tiny_groups, range(1500))
+def test_large_counts_take_the_ranking_path(many_slices):
+    df = aged(many_slices, range(1500))
     few = A.retention(df, ["store"], max_count=1000)
     many = A.retention(df, ["store"], max_count=1001)
     assert (few.where("delete").count(), many.where("delete").count()) == (500, 499)

@@ -90,8 +90,8 @@ def test_distinct_dependencies(spark, rows):
     assert rows(D.dependency_distinct(df)) == [("a", "1", 2), ("a", "2", 1)]
 
 
-def test_dependency_lists_come_in_whole_parts(tiny_groups):
-    df = tiny_groups.createDataFrame([("r", f"n{i:02}", f">={i}") for i in range(25)] + [("s", "x", "")], "repo string, name string, version_spec string")
+def test_dependency_lists_come_in_whole_parts(many_slices):
+    df = many_slices.createDataFrame([("r", f"n{i:02}", f">={i}") for i in range(25)] + [("s", "x", "")], "repo string, name string, version_spec string")
     got = D.dependency_manifest(df, [F.col("name")], part_size=10).orderBy("repo", "part").collect()
     assert [(r.repo, r.part, r.dependency_count, len(json.loads(r.dependencies))) for r in got] == [("r", 0, 25, 10), ("r", 1, 25, 10), ("r", 2, 25, 5), ("s", 0, 1, 1)]
     assert [d["name"] for r in got[:3] for d in json.loads(r.dependencies)] == [f"n{i:02}" for i in range(25)]

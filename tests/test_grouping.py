@@ -3,7 +3,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from forgeledger.operators.grouping import join_null_safe, order_in_group, spread_small, with_previous
+from forgeledger.operators.grouping import join_null_safe, order_in_group, with_previous
 
 
 def skewed(spark):
@@ -16,29 +16,29 @@ def skewed(spark):
     return spark.createDataFrame(data, "k string, t int, id int")
 
 
-def test_rank_of_large_groups_equals_window(tiny_groups, rows):
-    df = skewed(tiny_groups)
+def test_rank_of_large_groups_equals_window(many_slices, rows):
+    df = skewed(many_slices)
     order = [F.col("t").desc(), F.col("id")]
     expected = df.withColumn("position", F.row_number().over(Window.partitionBy("k").orderBy(*order)).cast("long"))
     assert rows(order_in_group(df, ["k"], order)) == rows(expected)
 
 
-def test_rank_over_the_whole_table(tiny_groups, rows):
-    df = skewed(tiny_groups)
+def test_rank_over_the_whole_table(many_slices, rows):
+    df = skewed(many_slices)
     expected = df.withColumn("position", F.row_number().over(Window.orderBy("id")).cast("long"))
     assert rows(order_in_group(df, [], [F.col("id")])) == rows(expected)
 
 
-def test_previous_row_of_large_groups_equals_window(tiny_groups, rows):
-    df = skewed(tiny_groups)
+def test_previous_row_of_large_groups_equals_window(many_slices, rows):
+    df = skewed(many_slices)
     order = [F.col("t"), F.col("id")]
     window = Window.partitionBy("k").orderBy(*order)
     expected = df.select("*", F.lag("t").over(window).alias("pt"), F.lag("id").over(window).alias("pid"))
     assert rows(with_previous(df, ["k"], order, {"t": "pt", "id": "pid"})) == rows(expected)
 
 
-def test_previous_values_that_are_null_are_not_skipped(tiny_groups, rows):
-    df = tiny_groups.createDataFrame([("a", i, None if i % 3 else i) for i in range(40)], "k string, i int, v int")
+def test_previous_values_that_are_null_are_not_skipped(many_slices, rows):
+    df = many_slices.createDataFrame([("a", i, None if i % 3 else i) for i in range(40)], "k string, i int, v int")
     window = Window.partitionBy("k").orderBy("i")
     expected = df.withColumn("pv", F.lag("v").over(window))
     assert rows(with_previous(df, ["k"], [F.col("i")], {"v": "pv"})) == rows(expected)
@@ -49,21 +49,22 @@ def test_null_safe_join(spark, rows):
     assert rows(join_null_safe(left, left.select("k"), ["k"])) == [("a", 2), (None, 1)]
 
 
-def test_spreading_keeps_rows(spark, rows):
-    df = spark.range(20).coalesce(1)
-    spread = spread_small(df)
-    assert rows(spread) == rows(df) and spread.rdd.getNumPartitions() > 1
+def test_odd_groups(many_slices, rows):
+    data = [(x, i) for i, x in enumerate([float("nan"), None, 0.5, float("nan"), None])]
+    df = many_slices.createDataFrame(data, "k double, i int")
+    assert sorted((r.i, r.position) for r in order_in_group(df, ["k"], [F.col("i")]).collect()) == [(0, 1), (1, 1), (2, 1), (3, 2), (4, 2)]
+    none = df.where("i < 0")
+    assert rows(order_in_group(none, ["k"], [F.col("i")])) == [] and rows(with_previous(none, ["k"], [F.col("i")], {"i": "p"})) == []
+    one = many_slices.range(50).withColumn("k", F.lit(1))
+    following = with_previous(one, [], [F.col("id").desc()], {"id": "p"})
+    assert {r.id: r.p for r in following.collect()} == {i: i + 1 if i < 49 else None for i in range(50)}
 
 
-def test_large_groups_do_take_the_large_path(tiny_groups, monkeypatch):
+def test_a_large_group_reaches_over_slices_and_rows_move_once(many_slices, monkeypatch):
     from forgeledger.operators import grouping
 
-    seen = []
-    plain = grouping._slices
-    monkeypatch.setattr(grouping, "_slices", lambda df, *rest: seen.append(df.count()) or plain(df, *rest))
-    df = skewed(tiny_groups)
-    order_in_group(df, ["k"], [F.col("t"), F.col("id")])
-    assert seen == [320]  # the hot group and the null group; the groups of two or three stay out
-    seen.clear()
-    order_in_group(df.where("k <> 'hot'"), ["k"], [F.col("id")])
-    assert seen == []
+    seen, plain = [], grouping._slices
+    monkeypatch.setattr(grouping, "_slices", lambda *args: seen.append(plain(*args)) or seen[-1])
+    plan = order_in_group(skewed(many_slices), ["k"], [F.col("t"), F.col("id")])._jdf.queryExecution().toString()
+    assert seen[0].where("k = 'hot'").select("__slice").distinct().count() > 3
+    assert "BroadcastHashJoin" in plan and "rangepartitioning" not in plan

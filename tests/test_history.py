@@ -207,7 +207,7 @@ def test_file_sets(spark, rows):
 @pytest.mark.parametrize("large", [False, True])
 def test_version_history(spark, rows, large, request):
     if large:
-        request.getfixturevalue("tiny_groups")
+        request.getfixturevalue("many_slices")
     sequence = "1 1 2 2 3 2 2 1 4 4 5 5".split()
     log = spark.createDataFrame([("r", i, v) for i, v in enumerate(sequence)] + [("s", 0, "1")], "repo string, ts int, version string")
     assert rows(C.version_audit(log)) == [("r", 10, "5", "4"), ("r", 2, "2", "1"), ("r", 4, "3", "2"), ("r", 5, "2", "3"), ("r", 7, "1", "2"), ("r", 8, "4", "1")]

@@ -121,7 +121,7 @@ def test_stages(spark, rows):
 @pytest.mark.parametrize("large", [False, True])
 def test_pairing(spark, rows, large, request):
     if large:
-        request.getfixturevalue("tiny_groups")
+        request.getfixturevalue("many_slices")
     states = "started completed started failed started started completed failed started".split()
     df = spark.createDataFrame([("u", i, s) for i, s in enumerate(states)], "url string, i int, state string").withColumn("ts", F.timestamp_seconds(F.col("i") * F.col("i")))
     got = L.operation_pairing(df, [F.col("ts")]).orderBy("started_at").collect()
