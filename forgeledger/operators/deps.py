@@ -89,32 +89,44 @@ def requirements_parse(files: DataFrame, text: str = "text", manifest: str = "ma
     return lines.select(*rest, "line_no", F.inline(R.parse_line(F.col("line"))))
 
 
-def structured_manifest_parse(
-    files: DataFrame, text: str = "text", manifest: str = "manifest", keys: Sequence[str] = ("repo",)
-) -> DataFrame:
-    """Dependency rows of pyproject.toml, Pipfile and setup.py files.
+def _structured_rows(files: DataFrame, text: str, manifest: str, keys: list[str]) -> DataFrame:
+    """One row per entry of a readable file, and one with a ``reason`` per file that is not.
 
-    Only reading the file formats runs in Python, in Arrow batches; requirement lines found
-    inside are taken apart by the same expressions as line-based manifests.
+    Only reading the file formats runs in Python, in Arrow batches.
     """
-    keys = list(keys)
     kept = files.where(F.lower(base_name(F.col(manifest))).isin(*STRUCTURED)).select(*keys, manifest, text)
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             names = batch[manifest].str.rsplit("/", n=1).str[-1]
-            found = [structured_entries(n, t) or [] for n, t in zip(names, batch[text])]
-            source = [i for i, entries_of_file in enumerate(found) for _ in entries_of_file]
-            flat = [(n, *e) for entries_of_file in found for n, e in enumerate(entries_of_file)]
-            line_no, entry, spec = zip(*flat) if flat else ((), (), ())
-            yield batch.drop(columns=[text]).iloc[source].assign(
+            flat = []
+            for i, (name, content) in enumerate(zip(names, batch[text])):
+                found, reason = structured_entries(name, content)
+                flat += [(i, n, *entry, None) for n, entry in enumerate(found)]
+                if reason:
+                    flat.append((i, 0, None, None, reason))
+            source, line_no, entry, spec, why = zip(*flat) if flat else ((),) * 5
+            yield batch.drop(columns=[text]).iloc[list(source)].assign(
                 line_no=pd.Series(line_no, dtype="int32").values,
                 entry=pd.Series(entry, dtype=object).values,
                 spec=pd.Series(spec, dtype=object).values,
+                reason=pd.Series(why, dtype=object).values,
             )
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != text)
-    rows = kept.mapInPandas(entries, f"{head}, line_no INT, entry STRING, spec STRING")
+    return kept.mapInPandas(entries, f"{head}, line_no INT, entry STRING, spec STRING, reason STRING")
+
+
+def structured_manifest_parse(
+    files: DataFrame, text: str = "text", manifest: str = "manifest", keys: Sequence[str] = ("repo",)
+) -> DataFrame:
+    """Dependency rows of pyproject.toml, Pipfile and setup.py files.
+
+    Requirement lines found inside are taken apart by the same expressions as line-based manifests.
+    Files that cannot be read have no rows here; ``structured_manifest_rejects`` names them.
+    """
+    keys = list(keys)
+    rows = _structured_rows(files, text, manifest, keys).where("reason is null")
     given = F.array(
         F.struct(
             F.col("entry").alias("name"),
@@ -127,6 +139,13 @@ def structured_manifest_parse(
     return rows.select(*keys, manifest, "line_no", F.inline(parsed))
 
 
+def structured_manifest_rejects(
+    files: DataFrame, text: str = "text", manifest: str = "manifest", keys: Sequence[str] = ("repo",)
+) -> DataFrame:
+    """Structured manifests that cannot be read, each with the ``reason``."""
+    return _structured_rows(files, text, manifest, list(keys)).where("reason is not null").select(*keys, manifest, "reason")
+
+
 def dependency_distinct(dependencies: DataFrame, key: str = "repo") -> DataFrame:
     """Distinct (name, version_spec) with the number of repositories using each.
 

@@ -183,10 +183,16 @@ VIEWS = {
                '  pkg_' || cast(o_custkey as varchar(20)) || ' == 1.' || cast(o_orderkey as varchar(20)) || '.0 # pinned' || chr(10) ||
                'git+https://host.example/x.git' || chr(10) || '_odd>=1' || chr(10) || 'plain' as text
         from {orders}""",
+    # Some cannot be read: no text, members of the wrong kind, text that is no TOML or Python.
     "v_structured_files": """
         select o_orderkey as repo, case o_orderpriority when '1-URGENT' then 'pyproject.toml' when '2-HIGH' then 'svc/pyproject.toml'
                     when '3-MEDIUM' then 'Pipfile' when '4-NOT SPECIFIED' then 'setup.py' else 'notes.md' end as manifest,
-               case o_orderpriority
+               case when o_orderkey % 13 = 0 then null when o_orderkey % 11 = 0 then
+                 case o_orderpriority when '1-URGENT' then 'project = 3' when '2-HIGH' then '[tool]' || chr(10) || 'poetry = [1]'
+                   when '3-MEDIUM' then '[[packages]]' || chr(10) || 'flask = "*"' when '4-NOT SPECIFIED' then 'setup(' else '' end
+               when o_orderkey % 17 = 0 and o_orderpriority = '1-URGENT' then '[project]' || chr(10) || 'dependencies = "abc"'
+               when o_orderkey % 17 = 0 and o_orderpriority = '3-MEDIUM' then '[packages'
+               else case o_orderpriority
                  when '1-URGENT' then '[project]' || chr(10) || 'name = "x"' || chr(10) || 'dependencies = ["pkg-' ||
                       cast(o_custkey as varchar(20)) || '>=1.0", "flask[async]==2.0 ; os_name == ''nt''"]'
                  when '2-HIGH' then '[tool.poetry.dependencies]' || chr(10) || 'python = "^3.9"' || chr(10) || 'pkg-' ||
@@ -195,7 +201,7 @@ VIEWS = {
                       'flask = {{version = "==2.0"}}' || chr(10) || '[dev-packages]' || chr(10) || 'pytest = "*"'
                  when '4-NOT SPECIFIED' then 'from setuptools import setup' || chr(10) || 'setup(name="x", install_requires=["pkg-' ||
                       cast(o_custkey as varchar(20)) || '>=1.0", "flask==2.0"])'
-                 else 'nothing' end as text
+                 else 'nothing' end end as text
         from {orders}""",
     "v_dependencies": """
         select l_orderkey as repo, 'pkg-' || cast(l_partkey as varchar(20)) as name,

@@ -743,19 +743,35 @@ def _(s):
     return D.requirements_parse(s.spread("v_requirement_files")).withColumn("extras", F.array_join("extras", "+"))
 
 
+# Why a file is rejected, null if it is not.
+_REJECTED = """case when o_orderpriority = '5-LOW' then null when o_orderkey % 13 = 0 then 'no text'
+    when o_orderkey % 11 = 0 then case o_orderpriority when '1-URGENT' then 'project is not a table' when '2-HIGH' then 'poetry is not a table'
+        when '3-MEDIUM' then 'packages is not a table' else 'not valid Python' end
+    when o_orderkey % 17 = 0 and o_orderpriority = '1-URGENT' then 'dependencies is not a list of texts'
+    when o_orderkey % 17 = 0 and o_orderpriority = '3-MEDIUM' then 'not valid TOML' end"""
+
+
 @query(
     "structured_manifest_parse",
-    """select f.repo, f.manifest, 0 as line_no, 'pkg-' || cast(o_custkey as varchar) as name, '' as extras,
+    f"""select f.repo, f.manifest, 0 as line_no, 'pkg-' || cast(o_custkey as varchar) as name, '' as extras,
     case o_orderpriority when '2-HIGH' then '^1.0' when '3-MEDIUM' then '' else '>=1.0' end as version_spec, '' as markers
-    from {v_structured_files} f join {orders} on o_orderkey = f.repo where o_orderpriority <> '5-LOW'
+    from {{v_structured_files}} f join {{orders}} on o_orderkey = f.repo where o_orderpriority <> '5-LOW' and {_REJECTED} is null
     union all select f.repo, f.manifest, 1, 'flask', case when o_orderpriority = '1-URGENT' then 'async' else '' end,
     case o_orderpriority when '2-HIGH' then '2.0' else '==2.0' end, case when o_orderpriority = '1-URGENT' then 'os_name == ''nt''' else '' end
-    from {v_structured_files} f join {orders} on o_orderkey = f.repo where o_orderpriority <> '5-LOW'""",
+    from {{v_structured_files}} f join {{orders}} on o_orderkey = f.repo where o_orderpriority <> '5-LOW' and {_REJECTED} is null""",
 )
 def _(s):
     return D.structured_manifest_parse(s.spread("v_structured_files")).withColumn("extras", F.array_join("extras", "+"))
 
 
+@query(
+    "structured_manifest_rejects",
+    f"select f.repo, f.manifest, {_REJECTED} as reason from {{v_structured_files}} f join {{orders}} on o_orderkey = f.repo where {_REJECTED} is not null",
+)
+def _(s):
+    return D.structured_manifest_rejects(s.spread("v_structured_files"))
+
+
 @query("dependency_distinct", "select name, version_spec, count(distinct repo) as n_repos from {v_dependencies} group by name, version_spec")
 def _(s):
     return D.dependency_distinct(s["v_dependencies"])

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from forgeledger.functions import requirements as R
+from forgeledger.functions.manifests import structured_entries
 from forgeledger.operators import closure as K
 from forgeledger.operators import deps as D
 
@@ -66,6 +67,32 @@ def test_structured_manifest(spark, name, text, expected):
     assert [(r.name, r.version_spec) for r in got] == expected
 
 
+@pytest.mark.parametrize(
+    "name, text, reason",
+    [
+        ("Pipfile", "[[packages]]\nx = 1", "packages is not a table"),
+        ("pyproject.toml", "tool = 1", "tool is not a table"),
+        ("pyproject.toml", "project = 3", "project is not a table"),
+        ("pyproject.toml", "[project]\ndependencies = [1, 2]", "dependencies is not a list of texts"),
+        ("pyproject.toml", "a = " + "[" * 100_000, "nested too deeply"),
+        ("setup.py", "setup(" + "(" * 5_000, "not valid Python"),
+        ("setup.py", "x = " + "-" * 200_000 + "1", "nested too deeply"),
+        ("setup.py", "a\0b", "not valid Python"),
+        ("Pipfile", "x = [", "not valid TOML"),
+        ("Pipfile", None, "no text"),
+    ],
+)
+def test_unreadable_manifests_have_a_reason(name, text, reason):
+    assert structured_entries(name, text) == ([], reason)
+
+
+def test_an_unreadable_manifest_costs_no_other(spark, rows):
+    df = files(spark, ("Pipfile", "x = ["), ("a/Pipfile", '[packages]\nflask = "*"'), ("setup.py", None), ("notes.md", None))
+    assert rows(D.structured_manifest_parse(df), "manifest", "name") == [("a/Pipfile", "flask")]
+    assert rows(D.structured_manifest_rejects(df)) == [("r", "Pipfile", "not valid TOML"), ("r", "setup.py", "no text")]
+
+
+
 def tiny_paths(spark):
     return spark.createDataFrame([("r", p) for p in ("a-b/go.mod", "go.mod", "a/go.mod")], "repo string, file_path string")
 
