@@ -62,17 +62,30 @@ def parse_line(line: Column) -> Column:
     )
 
 
-# A registry requirement: name, extras, then specifiers (bare or in brackets) or an address.
-_REGISTRY = (
-    r"^([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(?:\[[^\]]*\])?\s*"
-    r"(?:@\s*\S+|\(?\s*((?:(?:===|==|~=|!=|<=|>=|<|>)\s*[A-Za-z0-9.*+!_-]+\s*,?\s*)*)\)?)\s*$"
+# Names, versions and specifiers as the packaging standards define them. Wildcards and local
+# labels go with equality only, "~=" needs two release numbers, and commas part specifiers.
+_NAME = r"[A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9_])?"
+_EPOCH = r"v?(?:[0-9]+!)?"
+_PRE = r"(?:[-_.]?(?:alpha|a|beta|b|preview|pre|c|rc)[-_.]?[0-9]*)?"
+_POST = r"(?:-[0-9]+|[-_.]?(?:post|rev|r)[-_.]?[0-9]*)?"
+_DEV = r"(?:[-_.]?dev[-_.]?[0-9]*)?"
+_LOCAL = r"(?:\+[a-z0-9]+(?:[-_.][a-z0-9]+)*)?"
+_SUFFIX = _PRE + _POST + _DEV
+_NUMBERS = r"[0-9]+(?:\.[0-9]+)*"
+_SPECIFIER = (
+    rf"(?i:===\s*[^\s;)]+|(?:==|!=)\s*{_EPOCH}{_NUMBERS}(?:\.\*|{_SUFFIX}{_LOCAL})"
+    rf"|~=\s*{_EPOCH}[0-9]+(?:\.[0-9]+)+{_SUFFIX}|(?:<=|>=|<|>)\s*{_EPOCH}{_NUMBERS}{_SUFFIX})"
 )
+_SPECIFIERS = rf"(?:{_SPECIFIER}(?:\s*,\s*{_SPECIFIER})*\s*,?)?"
+_EXTRAS = rf"(?:\[\s*(?:{_NAME}(?:\s*,\s*{_NAME})*)?\s*\])?"
+_REGISTRY = rf"^({_NAME})\s*{_EXTRAS}\s*(?:@\s*\S+|\(\s*({_SPECIFIERS})\s*\)|({_SPECIFIERS}))\s*$"
 
 
 def parse_registry_requirement(text: Column) -> Column:
     """struct(name, version_spec) with markers cut off, or null where the text does not parse."""
     body = stripped(F.element_at(F.split(text, ";"), 1))
-    spec = F.regexp_replace(F.regexp_extract(body, _REGISTRY, 2), r"\s+|,\s*$", "")
+    found = F.concat(F.regexp_extract(body, _REGISTRY, 2), F.regexp_extract(body, _REGISTRY, 3))
+    spec = F.regexp_replace(found, r"\s+|,\s*$", "")
     return F.when(
         body.rlike(_REGISTRY),
         F.struct(

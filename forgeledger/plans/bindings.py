@@ -145,6 +145,17 @@ VIEWS = {
                case when archive_type = 'full' then ', "lfs_object_count": ' || cast(archive_id % 5 as varchar(10)) else '' end ||
                '}}' end as value
         from {v_archives} where priority <> '5-LOW' or archive_type = 'full'""",
+    # One manifest per supplier, as small objects of a store; some are cut short.
+    "v_stored": """
+        select s_suppkey as repo, case when s_suppkey % 7 = 0 then '{{"type": ' else
+               '{{"type": "' || case when s_nationkey % 2 = 0 then 'full' else 'incremental' end || '", "repository": {{"name": "' ||
+               s_name || '"}}, "lfs_enabled": ' || case when s_acctbal > 0 then 'true' else 'false' end || '}}' end as value
+        from {supplier}""",
+    # A list per supplier whose order is not that of its text.
+    "v_listed": """
+        select l_suppkey as repo, cast(l_partkey as bigint) as line_no, 'pkg-' || cast(l_partkey as varchar(20)) || '>=' ||
+               cast(min(l_linenumber) as varchar(10)) || '.0' as line
+        from {lineitem} group by l_suppkey, l_partkey""",
     "v_members": """
         select a.archive_id as archive, a.size_bytes % 19 <> 0 as bundle_found, a.size_bytes % 23 <> 0 as bundle_ok,
                'bad object' as bundle_error, coalesce(l.n, 0) > 0 as lfs_found, coalesce(l.n, 0) as lfs_objects

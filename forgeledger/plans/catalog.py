@@ -17,7 +17,9 @@ from ..operators import history as H
 from ..operators import naming as N
 from ..operators import oplog as L
 from ..operators import selection as S
+from ..operators.grouping import order_in_group
 from ..session import configure, scratch_path
+from ..sources import snapshots, tables
 from ..streaming import jobs as J
 from .bindings import Source, standalone_sql
 
@@ -1189,3 +1191,99 @@ def _(s):
     live = StreamSource(s.spark, s.folder)
     alerts = J.stream_alerts(live["v_alert_rows"]).select("event_id", "alert", "severity")
     return _streamed(s, alerts, ["event_id", "alert"], "append")
+
+
+# === H: sources and sinks ================================================================
+
+
+def _stored(s: Source) -> str:
+    """A new folder with one object per supplier, named ``repo=<key>/part-….txt``."""
+    path = scratch_path(s.spark, "store")
+    s["v_stored"].repartition("repo").write.partitionBy("repo").text(path)
+    return path
+
+
+def _repo(name: str = "key"):
+    return F.regexp_extract(name, "repo=([0-9]+)/", 1).cast("bigint").alias("repo")
+
+
+@query(
+    "source_log_lines",
+    """select case when ok then date_trunc('second', ts) + case when event_id % 2 = 0 then interval 250 millisecond else interval 0 millisecond end end as ts,
+    case when ok then level end as level, case when ok then repository end as repository, case when ok then user_id end as lineno,
+    case when event_id % 31 = 0 then '{{"timestamp": ' when event_id % 37 = 0 then '[1, 2]' end as corrupt_line
+    from (select *, event_id % 31 <> 0 and event_id % 37 <> 0 as ok from {v_log}) t""",
+)
+def _(s):
+    path = scratch_path(s.spark, "logs")
+    tables.write_json_values(s.spread("v_log_lines"), path, "value")
+    scanned = L.log_scan(tables.log_lines(s.spark, path), {"repository": "STRING"})
+    return scanned.select("ts", "level", "repository", "lineno", "corrupt_line")
+
+
+@query(
+    "source_json_documents",
+    """select repo, value not like '%: ' as manifest_valid, case when value not like '%: ' then json_extract_string(value, '$.type') end as type,
+    case when value not like '%: ' then json_extract_string(value, '$.repository.name') end as name,
+    case when value not like '%: ' then contains(value, '"lfs_enabled": true') end as lfs_enabled from {v_stored}""",
+)
+def _(s):
+    manifests = A.manifest_read(tables.json_documents(s.spark, _stored(s), "*.txt"))
+    return manifests.select(_repo(), "manifest_valid", "manifest.type", "manifest.repository.name", "manifest.lfs_enabled")
+
+
+@query("source_object_digests", "select repo, strlen(value) + 1 as size_bytes, sha256(value || chr(10)) as sha256 from {v_stored}")
+def _(s):
+    return tables.object_digests(s.spark, _stored(s), "*.txt").select(_repo(), "size_bytes", "sha256")
+
+
+@query("source_object_listing", "select repo, strlen(value) + 1 as size_bytes, true as timed from {v_stored}")
+def _(s):
+    listing = tables.object_listing(s.spark, _stored(s), "*.txt")
+    return listing.select(_repo(), "size_bytes", F.col("mtime").isNotNull().alias("timed"))
+
+
+@query(
+    "source_text_files",
+    "select repo, split_part(line, '>=', 1) as name, '>=' || split_part(line, '>=', 2) as version_spec from {v_listed}",
+)
+def _(s):
+    path = scratch_path(s.spark, "lists")
+    tables.write_lines(s["v_listed"], path)
+    files = tables.text_files(s.spark, path, "*.txt").select(_repo(), F.lit("requirements.txt").alias("manifest"), "text")
+    return D.requirements_parse(files).select("repo", "name", "version_spec")
+
+
+@query(
+    "sink_lines",
+    "select repo, row_number() over (partition by repo order by line_no) as position, line from {v_listed}",
+)
+def _(s):
+    path = scratch_path(s.spark, "lists")
+    tables.write_lines(s["v_listed"], path)
+    # The files of a list, in the order of their names, are its lines in order.
+    files = tables.text_files(s.spark, path, "*.txt")
+    lines = files.select("key", _repo(), F.posexplode(F.split(F.rtrim("text", F.lit("\n")), "\n")).alias("nth", "line"))
+    return order_in_group(lines, ["repo"], [F.col("key"), F.col("nth")]).select("repo", "position", "line")
+
+
+@query("sink_json_values", "select value as line from {v_registry_json}")
+def _(s):
+    path = scratch_path(s.spark, "values")
+    tables.write_json_values(s["v_registry_json"], path, "value")
+    return tables.log_lines(s.spark, path).select(F.col("value").alias("line"))
+
+
+@query(
+    "sink_state_snapshot",
+    "select repo, ts, seq, last_commit, branch from (select *, row_number() over (partition by repo order by ts desc, seq desc) as rn from {v_state_log}) t where rn = 1",
+)
+def _(s):
+    path, log = scratch_path(s.spark, "snapshots"), s["v_state_log"]
+    first = C.latest_state(log.where("branch <> '1-URGENT'"), ["repo"], ["ts", "seq"])
+    snapshots.write_snapshot(first, path, 0)
+    before = snapshots.read_snapshot(s.spark, path, log.schema, 0)
+    snapshots.write_snapshot(C.latest_state(before.unionByName(log.where("branch = '1-URGENT'")), ["repo"], ["ts", "seq"]), path, 1)
+    # A version that exists already is left alone.
+    snapshots.write_snapshot(first, path, 1)
+    return snapshots.read_snapshot(s.spark, path, log.schema)

@@ -260,3 +260,25 @@ def test_no_roots(spark):
     packages = spark.createDataFrame([], "name string, version string, requires array<string>")
     assert K.resolve(roots, packages).columns == ["package", "level", "requested_as", "version_spec", "status", "version", "place"]
     assert K.resolve(roots, packages).isEmpty()
+
+
+def test_registry_requirements_are_read_as_the_standard_says(spark):
+    from packaging.requirements import InvalidRequirement, Requirement
+
+    specs = (
+        "|>=1|>= 1.0|>=1,<2|>=1 <2|>=1 , <2|>=1,|(>=1)|(>=1|>=1)|( >=1 , !=1.5.* )|>=1.*|==1.*|>=1.0+local|==1.0+local.1|~=1|~=1.4.2|~=1.*|===odd!|"
+        "<2.0rc1|<=1!2.0.post1|>1.0.dev3|==v1|>=1-2|>=x|=1|==|1.0|,>=1|>=1,,<2|[a]>=1|[a,b] (>=1)|[a b]>=1|[]>=1|[a,]|@ https://x/y.whl|@|!=1.0alpha"
+    ).split("|")
+    lines = [name + space + spec for name in ("foo", "Foo.b-a_r", "f", "foo_", "foo-", "-foo", "") for space in ("", " ") for spec in specs]
+    got = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i int, l string").select(
+        "i", R.parse_registry_requirement(F.col("l")).alias("r")
+    )
+    found = {r.i: r.r for r in got.collect()}
+    for i, line in enumerate(lines):
+        try:
+            wanted = Requirement(line)
+        except InvalidRequirement:
+            wanted = None
+        assert (found[i] is None) == (wanted is None), line
+        if wanted:
+            assert (found[i].name, sorted(found[i].version_spec.split(","))) == (wanted.name, sorted(str(wanted.specifier).split(","))), line
