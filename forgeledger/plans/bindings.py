@@ -236,6 +236,16 @@ VIEWS = {
                  '{{"packagetype": "sdist", "url": "https://files.example.org/' || name || '.zip", "digests": {{"sha256": "s"}}}}' end ||
                ']}}' as value
         from {v_registry}""",
+    # Packages in layers: p needs 2p, 2p + 1 and, within the layer below, 2p + 2, so that most are reached twice by
+    # requirements that differ. Some requirements cannot be read, fail, or name a package that is not there.
+    "v_resolver_json": """
+        select id, '{{"info": {{"name": "' || name || '", "version": "' || version || '", "requires_dist": ["pkg-' ||
+               cast(2 * id as varchar(20)) || '>=1.0", "Pkg-' || cast(2 * id + 1 as varchar(20)) ||
+               case when id % 5 = 0 then ' >=0 <4"' else ' (<4)"' end ||
+               case when (id & (id + 1)) <> 0 then ', "pkg-' || cast(2 * id + 2 as varchar(20)) || '[x] >= ' || cast(id % 3 as varchar(10)) ||
+                    '.0 ; extra == ''y''"' else '' end ||
+               case when id % 4 = 0 then ', "Nowhere-' || cast(id as varchar(20)) || '"' else '' end || ']}}, "urls": []}}' as value
+        from {v_registry}""",
     # Requirements with two bounds on the major number.
     "v_requirements": """
         select l_orderkey as repo, 'PKG-' || cast(l_partkey as varchar(20)) as name,

@@ -848,6 +848,28 @@ def _(s):
     return K.resolve(roots, packages, edges).select("package", "level", "status", "version")
 
 
+@query(
+    "registry_resolve",
+    """with recursive asked as (
+      select id as pkg, 0 as nth, 2 * id as dep, 'pkg-' || 2 * id as name, '>=1.0' as spec from {v_registry}
+      union all select id, 1, 2 * id + 1, 'Pkg-' || (2 * id + 1), '<4' from {v_registry} where id % 5 <> 0
+      union all select id, 2, 2 * id + 2, 'pkg-' || (2 * id + 2), '>=' || (id % 3) || '.0' from {v_registry} where (id & (id + 1)) <> 0
+      union all select id, 3, -id, 'Nowhere-' || id, '' from {v_registry} where id % 4 = 0),
+    edges as (select a.*, r.version, case when r.id is null then 'missing' when case nth when 0 then dep % 7 >= 1 when 1 then dep % 7 < 4
+      else dep % 7 >= pkg % 3 end then 'resolved' else 'conflict' end as status from asked a left join {v_registry} r on r.id = a.dep),
+    walk(id, level, name, spec, status, version, place) as (
+      select id, 0, name, '', 'resolved', version, '' from {v_registry} where id = 1
+      union all
+      select e.dep, w.level + 1, arg_min(e.name, w.place || e.nth), arg_min(e.spec, w.place || e.nth), arg_min(e.status, w.place || e.nth),
+        max(e.version), min(w.place || e.nth) from walk w join edges e on e.pkg = w.id where w.status = 'resolved' group by e.dep, w.level)
+    select lower(name) as package, cast(level as bigint) as level, name as requested_as, spec as version_spec, status, version from walk""",
+)
+def _(s):
+    packages = D.registry_flatten(s.spread("v_resolver_json"))
+    roots = packages.where("name = 'Pkg-1'").select("name", F.lit("").alias("version_spec"), F.lit(0).alias("ordinal"))
+    return K.resolve(roots, packages).drop("place")
+
+
 @query(
     "edge_closure",
     _REACHED + "select id as package, cast(min(level) as bigint) as level from walk group by id",
