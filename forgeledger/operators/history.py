@@ -27,6 +27,8 @@ affects speed. Edges to commits that are not listed (a shallow boundary) are ign
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,15 +199,20 @@ def reach(history: History, heads: DataFrame) -> DataFrame:
     row per head and line below it, so ask about the heads that matter (branch tips), not
     about every commit.
     """
+    key = ["repo", "head", "line"]
     start = history.places.select("repo", F.col("sha").alias("head"), "line", F.col("depth").alias("entry"))
-    found = start.join(heads.select("repo", "head").distinct(), ["repo", "head"], "left_semi").select(
-        "repo", "head", "line", "entry", F.lit(None).cast("long").alias("before"), F.lit(True).alias("fresh")
-    )
-    moving = True
-    # Entries only ever decrease, so the loop ends by itself.
-    while moving:
+    start = start.join(heads.select("repo", "head").distinct(), ["repo", "head"], "left_semi")
+    fresh, moving = durable_counted(start.withColumn("before", F.lit(None).cast("long")), F.lit(True), "reach")
+    known = fresh.select(*key, "entry")
+    # Entries only ever decrease, so the loop ends by itself. A round writes what it improved and nothing else.
+    for turn in itertools.count(1):
+        best = known.groupBy(*key).agg(F.min("entry").alias("entry"))
+        if not moving:
+            return best
+        if turn % 8 == 0:
+            known = best = durable(best, "reached")
         # Only the newly covered stretch [entry, before) of a line can lead anywhere new.
-        front = found.where("fresh").select("repo", "head", F.col("line").alias("from_line"), "entry", "before")
+        front = fresh.select("repo", "head", F.col("line").alias("from_line"), "entry", "before")
         # Lines without links drop out here, the others spread over their blocks.
         spread = front.join(history.last_blocks, ["repo", "from_line"]).where(_block("entry") <= F.col("last_block"))
         last = F.least("last_block", F.coalesce(_block("before"), "last_block"))
@@ -218,37 +225,32 @@ def reach(history: History, heads: DataFrame) -> DataFrame:
             .groupBy("repo", "head", F.col("to_line").alias("line"))
             .agg(F.min("to_depth").alias("reached"))
         )
-        improved = F.col("reached").isNotNull() & (F.col("entry").isNull() | (F.col("reached") < F.col("entry")))
-        merged = found.select("repo", "head", "line", "entry").join(step, ["repo", "head", "line"], "full").select(
-            "repo",
-            "head",
-            "line",
-            F.least("entry", "reached").alias("entry"),
-            F.when(improved, F.col("entry")).alias("before"),
-            improved.alias("fresh"),
+        improved = (
+            step.join(best.withColumnRenamed("entry", "before"), key, "left")
+            .where("before is null or reached < before")
+            .select(*key, F.col("reached").alias("entry"), "before")
         )
-        found, moving = durable_counted(merged, F.col("fresh"), "reach")
-    return found.select("repo", "head", "line", "entry")
+        fresh, moving = durable_counted(improved, F.lit(True), "reach")
+        if moving:
+            known = known.unionByName(fresh.select(*key, "entry"))
 
 
-def is_ancestor(history: History, pairs: DataFrame, reached: DataFrame | None = None) -> DataFrame:
+def is_ancestor(history: History, pairs: DataFrame) -> DataFrame:
     """Per (repo, old, new): whether old is reachable from new. A commit is its own ancestor.
 
-    Null where either commit is unknown, which callers decide on.
+    Null where either commit is unknown, which callers decide on. Depths decide pairs on one line, most
+    moves of a branch; only the others are followed over the graph.
     """
-    wanted = pairs.select("repo", "old", "new").distinct()
-    if reached is None:
-        reached = reach(history, wanted.select("repo", F.col("new").alias("head")))
     old = history.places.select("repo", F.col("sha").alias("old"), "line", "depth")
-    new = history.places.select("repo", F.col("sha").alias("new"), F.lit(True).alias("__new"))
+    new = history.places.select("repo", F.col("sha").alias("new"), F.col("line").alias("new_line"), F.col("depth").alias("new_depth"))
+    wanted = pairs.select("repo", "old", "new").distinct()
+    placed = durable(wanted.join(old, ["repo", "old"], "left").join(new, ["repo", "new"], "left"), "pairs")
+    reached = reach(history, placed.where("line <> new_line").select("repo", F.col("new").alias("head")))
     entries = reached.select("repo", F.col("head").alias("new"), "line", "entry")
-    joined = (
-        wanted.join(old, ["repo", "old"], "left")
-        .join(new, ["repo", "new"], "left")
-        .join(entries, ["repo", "new", "line"], "left")
-    )
-    known = F.col("depth").isNotNull() & F.col("__new").isNotNull()
-    hit = F.coalesce(F.col("entry") <= F.col("depth"), F.lit(False))
+    joined = placed.join(entries, ["repo", "new", "line"], "left")
+    along = F.when(F.col("line") == F.col("new_line"), F.col("new_depth")).otherwise(F.col("entry"))
+    known = F.col("depth").isNotNull() & F.col("new_depth").isNotNull()
+    hit = F.coalesce(along <= F.col("depth"), F.lit(False))
     return joined.select("repo", "old", "new", F.when(known, hit).alias("is_ancestor"))
 
 
