@@ -12,7 +12,7 @@ from .. import schemas
 from ..functions import requirements as R
 from ..functions.manifests import STRUCTURED, structured_entries
 from ..functions.versions import satisfies
-from .grouping import order_in_group
+from .grouping import join_null_safe, order_in_group
 
 # Manifest file names per language; "*.ext" stands for any name with that ending.
 LANGUAGE_MANIFESTS = {
@@ -155,24 +155,29 @@ def dependency_distinct(dependencies: DataFrame, key: str = "repo") -> DataFrame
     return used.groupBy("name", "version_spec").agg(F.count(key).alias("n_repos"))
 
 
+def dependency_rows(dependencies: DataFrame, order: Sequence[Column], key: str = "repo") -> DataFrame:
+    """Each repository's dependencies with their ``position`` and the repository's full ``dependency_count``."""
+    placed = order_in_group(dependencies, [key], order)
+    counts = placed.groupBy(key).agg(F.max("position").alias("dependency_count"))
+    return join_null_safe(placed, counts, [key])
+
+
 def dependency_manifest(
     dependencies: DataFrame, order: Sequence[Column], key: str = "repo", part_size: int = 1_000
 ) -> DataFrame:
-    """JSON dependency lists per repository, in parts of at most ``part_size`` entries.
+    """``dependency_rows`` as JSON lists of at most ``part_size`` entries, for writing.
 
     Every entry is in exactly one part and every part states the repository's full count, so
     a repository with very many dependencies never becomes one value.
     """
-    placed = order_in_group(dependencies, [key], order)
-    counts = dependencies.groupBy(key).agg(F.count(F.lit(1)).alias("dependency_count"))
+    placed = dependency_rows(dependencies, order, key)
     part = F.floor((F.col("position") - 1) / part_size).cast("long")
     entry = F.struct("position", F.struct("name", "version_spec").alias("item"))
-    parts = (
-        placed.groupBy(key, part.alias("part"))
+    return (
+        placed.groupBy(key, "dependency_count", part.alias("part"))
         .agg(F.sort_array(F.collect_list(entry)).alias("__list"))
-        .select(key, "part", F.to_json(F.col("__list.item")).alias("dependencies"))
+        .select(key, "part", "dependency_count", F.to_json(F.col("__list.item")).alias("dependencies"))
     )
-    return parts.join(counts, key).select(key, "part", "dependency_count", "dependencies")
 
 
 def registry_flatten(documents: DataFrame, text: str = "value") -> DataFrame:

@@ -51,6 +51,22 @@ def exclude_filter(
     return kept
 
 
+def exclude_by_group(df: DataFrame, entries: DataFrame, column: str = "path", group: str = "group_name") -> DataFrame:
+    """Drop rows whose value matches an exclude entry of their own group.
+
+    ``entries`` has (``group``, ``entry``), exact names or ``*`` globs, and may be of any size: names are joined by
+    equality on both columns, globs by their group. Null groups, values and entries match nothing.
+    """
+    own = entries.select(F.col(group).alias("__group"), F.col("entry").alias("__entry"))
+    is_glob = F.contains("__entry", F.lit("*"))
+    # In a pattern only the glob's stars stand for other text.
+    pattern = F.replace(F.regexp_replace("__entry", r"([\\%_])", r"\\$1"), F.lit("*"), F.lit("%"))
+    globs = own.where(is_glob).select("__group", pattern.alias("__pattern"))
+    of_group = F.col(group) == F.col("__group")
+    kept = df.join(own.where(~is_glob), of_group & (F.col(column) == F.col("__entry")), "left_anti")
+    return kept.join(globs, of_group & F.like(F.col(column), F.col("__pattern")), "left_anti")
+
+
 def config_overrides(
     df: DataFrame, overrides: DataFrame, keys: Sequence[str], defaults: Mapping[str, object]
 ) -> DataFrame:

@@ -1,7 +1,8 @@
 """Estate tables derived from the supplied tables.
 
 Each view is plain SQL that means the same in Spark and in the oracle engine. Names in braces
-are supplied tables or other views. Every view reads its tables whole.
+are supplied tables or other views. Every view scans its tables whole; some leave rows out by a
+condition on their values, so that lookups into them miss.
 """
 
 from __future__ import annotations
@@ -62,6 +63,12 @@ VIEWS = {
                case when n_regionkey in (0, 3) then true when n_regionkey = 2 then false end as lfs_enabled,
                case when n_nationkey >= 15 then 'incremental' end as sync_strategy
         from {nation} where n_name <> 'NATION_7'""",
+    # Names and globs that one group excludes and others keep.
+    "v_excludes": """
+        select n_name as group_name, r_name || '/' || n_name || '/' || '*' || cast(n_nationkey % 10 as varchar(10)) as entry
+        from {nation} join {region} on n_regionkey = r_regionkey where n_nationkey % 2 = 0
+        union all select n_name, '*_%' from {nation}
+        union all select n_name, r.path from {nation} join {v_repos} r on r.id % 25 = n_nationkey where r.segment = 'BUILDING'""",
     "v_remotes": """
         select case c_mktsegment when 'BUILDING' then 'https://github.com/' when 'MACHINERY' then 'https://Code.GitHub.com/'
                     when 'HOUSEHOLD' then 'https://gitlab.corp.example:8443/' when 'FURNITURE' then 'git@github.com:'

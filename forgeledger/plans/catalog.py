@@ -109,6 +109,18 @@ def _(s):
     return S.exclude_filter(s["v_paths"], "path", ["small/*", "*/old-*", "*bolt", "economy/Brand-2/small-ring"], exact)
 
 
+@query(
+    "exclude_by_group",
+    """select id, path from {v_repos} r where not exists (select 1 from {nation} n join {region} g on g.r_regionkey = n.n_regionkey
+    where n.n_name = split_part(r.path, '/', 2) and n.n_nationkey % 2 = 0 and r.path like g.r_name || '/%'
+    and r.path like '%' || cast(n.n_nationkey % 10 as varchar))
+    and not (r.segment = 'BUILDING' and 'NATION_' || (r.id % 25) = split_part(r.path, '/', 2))""",
+)
+def _(s):
+    projects = s["v_repos"].select("id", "path", F.split("path", "/")[1].alias("group_name"))
+    return S.exclude_by_group(projects, s["v_excludes"]).drop("group_name")
+
+
 @query(
     "config_overrides",
     """select id, path, coalesce(g.clone_depth, 0) as clone_depth, coalesce(g.lfs_enabled, false) as lfs_enabled,
@@ -779,6 +791,16 @@ def _(s):
     return D.dependency_distinct(s["v_dependencies"])
 
 
+@query(
+    "dependency_rows",
+    """select repo, name, version_spec, row_number() over (partition by repo order by name, version_spec, l_suppkey, l_linenumber) as position,
+    count(*) over (partition by repo) as dependency_count from {v_dependencies}""",
+)
+def _(s):
+    order = [F.col(c) for c in ("name", "version_spec", "l_suppkey", "l_linenumber")]
+    return D.dependency_rows(s["v_dependencies"], order).select("repo", "name", "version_spec", "position", "dependency_count")
+
+
 @query(
     "dependency_manifest",
     """select repo, part, max(n) as dependency_count, '[' || string_agg('{{"name":"' || name || '","version_spec":"' || version_spec || '"}}', ',' order by rn) || ']' as dependencies

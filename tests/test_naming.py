@@ -189,6 +189,18 @@ def test_excludes(spark, rows):
     assert S.exclude_filter(df, "path").count() == 6
 
 
+def test_excludes_of_a_group(spark, rows):
+    df = spark.createDataFrame(
+        [("g", "g/old-x"), ("h", "h/old-x"), ("g", "g/a_b"), ("g", "g/axb"), ("g", "g/p%q"), ("g", "g/c\\d"), ("g", None), (None, "g/old-x")],
+        "group_name string, path string",
+    )
+    entries = spark.createDataFrame(
+        [("g", "g/old-*"), ("g", "g/a_b"), ("g", "*_*"), ("g", "*p%q"), ("g", "g/c\\*"), ("h", "g/*"), ("h", None), (None, "*")],
+        "group_name string, entry string",
+    )
+    assert rows(S.exclude_by_group(df, entries), "path") == rows(df.where("path is null or group_name is null or path in ('g/axb', 'h/old-x')"), "path")
+
+
 def test_details_defaults(spark):
     projects = spark.createDataFrame([(1,), (2,)], "id bigint")
     details = spark.createDataFrame([(1, None, None, None, None)], "id bigint, description string, topics array<string>, visibility string, default_branch string")
