@@ -12,7 +12,7 @@ import __spark_entry__ as E  # noqa: E402
 from forgeledger.plans import catalog  # noqa: E402
 from tools.compare import compare, connect  # noqa: E402
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 QUERIES, EXPECTED = catalog.queries(), catalog.oracle_sql()
 
 
@@ -24,6 +24,8 @@ def db():
 @pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, db, name):
     verdict = compare(spark, db, FOLDER, name, QUERIES[name], EXPECTED.get(name))
+    if verdict == "EMPTY":  # the smallest data have no such rows
+        verdict = compare(spark, connect(LARGER), LARGER, name, QUERIES[name], EXPECTED.get(name))
     assert verdict.startswith("ok"), verdict
 
 
