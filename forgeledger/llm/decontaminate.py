@@ -6,8 +6,8 @@ of the smaller counts is at least 0.75 of the sum of the larger ones.
 
 1. Such a window holds at least ``1.5 / 1.75`` of its shingles in the benchmark. Sums over a document's shingles
    that are in the benchmark leave the windows that can match; none that matches is lost.
-2. These windows have a 64-bit SimHash, each shingle weighted by its count. Fingerprints are cut into ``BLOCKS`` blocks;
-   two within ``RADIUS`` bits have a block within ``RADIUS // BLOCKS`` bits, so a table of all values that near to an
+2. These windows have a 64-bit SimHash. A shingle votes once for each time it occurs, the n-th time with a hash of its own, so
+   that votes are distinct and similarity is the share of equal ones, repeats or not. Fingerprints are cut into ``BLOCKS`` blocks; two within ``RADIUS`` bits have a block within ``RADIUS // BLOCKS`` bits, so a table of all values that near to an
    item's block, for each block, finds every item within the radius. Shingle multisets of similarity
    0.75 differ in 11 bits on average (deviation 3), so the radius is more than five deviations away.
 3. The counts of a window and of the items found are compared exactly.
@@ -40,6 +40,27 @@ SLICE_BYTES = 8 << 20
 
 _NEAR = np.array([d for d in range(1 << 16) if d.bit_count() <= RADIUS // BLOCKS], np.uint32)
 _FIRST = 1 << 20
+_NTH = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _counts(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each value occurs in the ``size`` values that end with it, and in those that begin with it."""
+    n = len(hashes)
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    group = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) * n
+    place, at = group + order, np.arange(n)
+    ending, beginning = np.empty(n, np.int64), np.empty(n, np.int64)
+    ending[order] = at + 1 - np.searchsorted(place, group + np.maximum(order - size + 1, 0))
+    beginning[order] = np.searchsorted(place, group + np.minimum(order + size, n)) - at
+    return ending, beginning
+
+
+def _votes(hashes: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """Running sums of the bits' votes, the ``nth`` occurrence of a value voting by a hash of its own."""
+    own = np.where(nth > 1, W.mix(hashes + nth.astype(np.uint64) * _NTH), hashes)
+    votes = ((own[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int32) * 2 - 1
+    return np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes, 0, dtype=np.int32)])
 
 
 def fingerprints(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -51,10 +72,12 @@ def fingerprints(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarra
     for run in np.split(np.arange(len(starts)), cuts):
         for part in np.array_split(run, max(1, len(run) // 4096)):
             low, high = starts[part[0]], starts[part[-1]] + size
-            votes = ((hashes[low:high, None] >> shifts) & np.uint64(1)).astype(np.int32) * 2 - 1
-            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes, 0, dtype=np.int32)])
+            # A value that enters the window is its last occurrence there; one that leaves takes the last vote of its kind along.
+            ending, beginning = _counts(hashes[low:high], size)
+            entered = _votes(hashes[low:high], ending)
+            left = _votes(hashes[low:high], beginning) if (ending > 1).any() else entered
             at = starts[part] - low
-            bits = (sums[at + size] - sums[at] > 0).astype(np.uint64)
+            bits = (entered[at + size] - left[at] > 0).astype(np.uint64)
             out[part] = (bits << shifts).sum(1, dtype=np.uint64)
     return out
 

@@ -105,6 +105,48 @@ def test_radius_holds_every_similar_window(size):
     assert far <= decontaminate.RADIUS - 2
 
 
+@pytest.mark.parametrize(("shared", "repeated"), [(44, 7), (100, 10), (100, 13), (190, 20), (190, 30)])
+@pytest.mark.parametrize("kinds", [1, 3])
+def test_radius_holds_windows_that_repeat_a_shingle(shared, repeated, kinds):
+    draw = np.random.default_rng(shared + repeated)
+    size, far = shared + repeated, 0
+    for _ in range(1500):
+        a = draw.integers(0, 2**64, size, dtype=np.uint64)
+        b = np.concatenate([a[:shared], np.resize(draw.integers(0, 2**64, kinds, dtype=np.uint64), repeated)])
+        one, two = (decontaminate.fingerprints(x, np.zeros(1, np.int64), size)[0] for x in (a, b))
+        far = max(far, int(np.bitwise_count(one ^ two)))
+    assert far <= decontaminate.RADIUS - 2
+
+
+@pytest.mark.parametrize("size", [1, 3, 8, 40])
+def test_running_votes_equal_those_of_each_window(size):
+    draw = np.random.default_rng(size)
+    hashes = W.mix(draw.integers(0, 12, 300).astype(np.uint64))
+    starts = np.flatnonzero(draw.random(300 - size + 1) < 0.3)
+    alone = [decontaminate.fingerprints(hashes[s : s + size], np.zeros(1, np.int64), size)[0] for s in starts]
+    assert decontaminate.fingerprints(hashes, starts, size).tolist() == alone
+    # The order of a window's shingles does not count.
+    mixed = draw.permutation(hashes[:size])
+    assert decontaminate.fingerprints(mixed, np.zeros(1, np.int64), size) == decontaminate.fingerprints(hashes[:size], np.zeros(1, np.int64), size)
+
+
+def test_repeated_shingles_against_all_windows(llm, rows):
+    items, docs = [], []
+    for i in range(24):
+        shared, n = [(44, 51), (100, 116), (190, 215), (190, 220)][i % 4]
+        words = [f"w{i}x{k}" for k in range(n + 4)]
+        held = [*words[: shared + 4], *["same"] * (n - shared)]
+        # The item repeats, the document does, or both.
+        items.append((i, " ".join(held if i % 3 == 1 else words)))
+        docs.append((i, " ".join(["before", "it", *(words if i % 3 == 1 else held), "and", "after"])))
+    docs.append((90, " ".join(["same"] * 300)))
+    items.append((90, " ".join(["same"] * 150)))
+    expected = brute(docs, items)
+    assert len(expected) >= 25
+    found = decontaminate.leaks(llm.createDataFrame(docs, "doc_id bigint, text string"), llm.createDataFrame(items, "item_id bigint, text string"))
+    assert rows(found) == expected
+
+
 def test_tables_find_all_within_the_radius():
     draw = np.random.default_rng(1)
     items = decontaminate._Items([(0, " ".join(f"w{i}" for i in range(30)))])
