@@ -7,21 +7,41 @@ return the columns of ``documents``; the last returns the packed pieces.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeledger.llm import decontaminate, exact, near, packing, quality
 from forgeledger.llm.frames import prepare
-from forgeledger.session import scratch_path
+from forgeledger.session import durable, scratch_path
 
 #: No SQL can train the classifier or tokenise; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose ids are kept, with all their columns."""
-    ids = kept.where("kept").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    return docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids["kept_doc_id"]), "left_semi")
+def _rows(docs: DataFrame) -> DataFrame:
+    """The documents with a number of each row's own in ``__row``, written so that it stays the same."""
+    return durable(docs.withColumn("__row", F.monotonically_increasing_id()), "corpus-rows")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows' numbers in place of ids, which may be missing or repeated."""
+    return rows.select(F.col("__row").alias("doc_id"), "text")
+
+
+def _first(rows: DataFrame, groups: DataFrame, *before: Column) -> DataFrame:
+    """One row of each group: the first by ``before``, then by id, a missing id last, then by the text's digest.
+
+    ``groups`` has ``doc_id``, a row's number, and ``group``. Where that is null, rows of equal id and text are a group.
+    """
+    own_id, text = F.col("doc_id").cast("bigint"), F.sha2("text", 256)
+    placed = rows.select(
+        F.col("__row").alias("nth"), F.struct(*before, own_id.isNull(), own_id, text, F.col("__row").alias("row")).alias("place"),
+        F.struct(own_id, text).alias("itself"),
+    )
+    grouped = placed.join(groups.hint("merge"), placed["nth"] == groups["doc_id"])
+    by = F.col("group"), F.when(F.col("group").isNull(), F.col("itself")).alias("alone")
+    first = grouped.groupBy(*by).agg(F.min("place").alias("place")).select(F.col("place.row").alias("first_row"))
+    return rows.join(first.hint("merge"), F.col("__row") == F.col("first_row"), "left_semi").drop("__row")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,16 +51,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One row of each group of equal texts: the one with most code points, then the smallest id."""
     prepare(spark)
-    return _only(docs, exact.deduplicate(docs))
+    rows = _rows(docs)
+    groups = exact.deduplicate(_numbered(rows)).select("doc_id", F.col("text_sha256").alias("group"))
+    return _first(rows, groups, -F.coalesce(F.length("text"), F.lit(0)))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; documents without words are nobody's copy and stay."""
+    """One row of each group of near copies, that of the smallest id.
+
+    Documents without words are nobody's near copy and stay; rows that repeat one's id and text do not.
+    """
     prepare(spark)
-    found = near.near_groups(docs)
-    return _only(docs, found.withColumn("kept", F.col("kept") | F.col("doc_id").isNull()))
+    rows = _rows(docs)
+    groups = near.near_groups(_numbered(rows)).select("doc_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"))
+    return _first(rows, groups)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """The pipeline's stages against what each one's own brute force says of its input."""
 
+import hashlib
 import inspect
+from collections import defaultdict
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as P
 from test_decontaminate import brute as leaked
 from test_exact import brute as equal
+from test_exact import fold
 from test_near import brute as alike
 from test_packing import check
 
@@ -57,5 +60,31 @@ def test_awkward_rows_and_extra_columns(llm, awkward):
     assert P.near_stage(llm, docs.limit(0), FOLDER).count() == 0
 
 
+def firsts(numbered, label, before=lambda text: 0):
+    """One (id, text) of each group of rows with equal labels."""
+    groups = defaultdict(list)
+    for n, (i, t) in enumerate(numbered):
+        digest = "" if t is None else hashlib.sha256(t.encode()).hexdigest()
+        groups[label(n, i, t)].append((before(t), i is None, i or 0, digest, n))
+    return sorted((numbered[min(g)[-1]] for g in groups.values()), key=repr)
+
+
+def test_repeated_rows_and_missing_ids_leave_one_row_a_group(llm, rows):
+    base = [f"w{i}" for i in range(60)]
+    one, near, other = " ".join(base), " ".join([*base[:-1], "end"]), " ".join(f"v{i}" for i in range(60))
+    held = [
+        (1, one), (1, one), (2, one), (None, one), (None, one), (None, one + " "), (3, near), (3, near), (None, near),
+        (None, other), (None, other), (None, "no id"), (None, "noid"), (4, "no  id"), (4, "n oid "), (5, ""), (5, ""), (6, None), (None, None),
+        (None, ""), (None, " "), (7, one.upper()), (3, other), (8, "five words and one more"), (8, "five words and one more"),
+    ]
+    docs = llm.createDataFrame([(*r, n) for n, r in enumerate(held)], "doc_id bigint, text string, score bigint").repartition(3)
+    exact = P.exact_stage(llm, docs, FOLDER)
+    assert rows(exact, "doc_id", "text") == firsts(held, lambda n, i, t: fold(t), lambda t: -len(t or ""))
+    component = {r[0]: r[2] for r in alike([(n, t) for n, (_, t) in enumerate(held)])}
+    near_copies = P.near_stage(llm, docs, FOLDER)
+    assert rows(near_copies, "doc_id", "text") == firsts(held, lambda n, i, t: component[n] if (t or "").split() else (i, t))
+    assert exact.columns == near_copies.columns == docs.columns
+
+
 def test_run(llm):
     assert P.run(llm, FOLDER).count() > 50
