@@ -150,13 +150,20 @@ def _decode(window: _Window, whole: bool) -> tuple[bytes, int] | None:
     return data, at - len(unpacker.unused_data)
 
 
-def records(source, begin: int, end: int) -> Iterator[bytes]:
-    """The records that start in ``[begin, end)`` of an open file."""
+def records(source, begin: int, end: int, chained: bool = False) -> Iterator[bytes]:
+    """The records that start in ``[begin, end)`` of an open file.
+
+    If ``chained``, the file must begin with a record and each must be followed by another or the file's end; what
+    cannot be read raises. Each range looks at the record after its last, so all ranges together miss none.
+    """
     window = _Window(source, begin)
-    while window.begin < end:
+    follows = chained and begin == 0
+    while window.begin < end or follows:
         while len(window.data) < len(MAGIC) and window.more():
             pass
-        at = window.data.find(MAGIC)
+        if follows and not window.data:
+            return
+        at = 0 if follows else window.data.find(MAGIC)
         if at < 0:
             if window.ended or not window.data:
                 return
@@ -165,13 +172,19 @@ def records(source, begin: int, end: int) -> Iterator[bytes]:
                 return
             continue
         window.forget(at)
-        if window.begin >= end:
+        if window.begin >= end and not follows:
             return
         # The beginning is decoded first, so that a chance hit costs little; then the record to its end.
-        found = _decode(window, False) and _decode(window, True)
+        head = _decode(window, False)
+        if head and window.begin >= end:
+            return
+        found = head and _decode(window, True)
         if found:
             yield found[0]
+        elif chained and (head or follows):
+            raise ValueError(f"the record at byte {window.begin} is damaged or cut off")
         window.forget(found[1] if found else 1)
+        follows = chained and bool(found)
 
 
 def _fields(lines: bytes) -> dict[str, str]:
@@ -209,12 +222,14 @@ _SHAPE = pa.schema(
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for path, size, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             store, name = pyarrow.fs.FileSystem.from_uri(path)
             rows: list[tuple] = []
             held = 0
             with store.open_input_file(name) as source:
-                for data in records(source, begin, end):
+                if source.size() != size:
+                    raise ValueError(f"{path} has {source.size()} bytes, the manifest says {size}")
+                for data in records(source, begin, end, chained=True):
                     rows.append(parsed(data))
                     held += len(data)
                     if held >= 8 << 20:
@@ -225,11 +240,14 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """All records of the manifest's archives (columns ``path, bytes``), one task for each range of bytes."""
+    """All records of the manifest's archives (columns ``path, bytes``), one task for each range of bytes.
+
+    An archive of another size, or with a record that cannot be read, raises.
+    """
     begins = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint"))
     ranges = durable(
         manifest.select("path", "bytes", F.explode(begins).alias("begin"))
-        .select("path", "begin", F.least(F.col("begin") + split_bytes, F.col("bytes")).alias("end")),
+        .select("path", "bytes", "begin", F.least(F.col("begin") + split_bytes, F.col("bytes")).alias("end")),
         "warc-ranges",
     )
     shape = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"

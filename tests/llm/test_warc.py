@@ -88,5 +88,31 @@ def test_lost_attempts_are_not_read(llm):
     assert warc.read(first).count() == warc.read(second).count() == 1
 
 
+@pytest.mark.parametrize("split", [1 << 24, 50])
+@pytest.mark.parametrize("damage", ["crc", "magic", "first", "cut", "boundary"])
+def test_damaged_archives_raise(llm, damage, split):
+    pages = llm.createDataFrame([(i, f"http://x/{i}", f"page {i} " * 9) for i in range(4)], SCHEMA).coalesce(1)
+    manifest = warc.write(pages)
+    assert warc.read(manifest, split).count() == 4
+    path = manifest.first().path
+    store, name = pyarrow.fs.FileSystem.from_uri(path)
+    with store.open_input_file(name) as source:
+        data = bytearray(source.read())
+    second = data.index(warc.MAGIC, 1)
+    last = data.rindex(warc.MAGIC)
+    if damage == "crc":
+        data[last - 8] ^= 1
+    elif damage in ("magic", "first"):
+        data[second if damage == "magic" else 0] ^= 1
+    else:
+        data = data[: -9 if damage == "cut" else last]
+    with store.open_output_stream(name, compression=None) as out:
+        out.write(bytes(data))
+    if damage == "cut":
+        manifest = manifest.withColumn("bytes", F.lit(len(data)).cast("bigint"))
+    with pytest.raises(Exception, match="damaged or cut off|the manifest says"):
+        warc.read(manifest, split).count()
+
+
 def test_empty(llm):
     assert warc.read(warc.write(llm.createDataFrame([], SCHEMA))).count() == 0
