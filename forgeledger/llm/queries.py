@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, fim, lines, merkle, near, packing, quality, spans, tokencount, warc
+from . import chat, decontaminate, exact, fim, lines, merkle, near, ngram_join, packing, quality, spans, tokencount, warc
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,10 @@ def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fim.restore(fim.rearrange(table(spark, folder, "documents")), with_text=False)
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.linked_groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 _OP7_SQL = r"""
 with d as (
     select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as folded
@@ -228,6 +232,7 @@ _QUERIES: dict[str, Query] = {
     for f in (
         op1_quality_classifier, op2_warc, op3_chat_formatting, op4_substring_dedup, op5_packing, op6_token_counts,
         op7_exact_dedup, op8_minhash_dedup, op9_line_dedup, op10_decontamination, op11_merkle_manifest, op12_fill_in_middle,
+        op13_ngram_jaccard_join,
     )
 }
 _ORACLES: dict[str, str] = {
