@@ -156,10 +156,58 @@ def test_trees_find_every_link(seed):
     assert len(links) < n and {tuple(sorted(x, reverse=True)) for x in links} <= set(similar)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_bitmaps_leave_out_no_set_with_a_partner(seed):
+    rng = np.random.default_rng(100 + seed)
+    n = int(rng.integers(2, 130))
+    members = random_sets(rng, n)
+    known = rng.integers(0, n, n) if seed % 2 else np.arange(n)
+    side = rng.integers(0, 2, n) if seed % 3 == 0 else np.zeros(n, int)
+    maps = [ngram_join.bitmaps(m, np.array([0, len(m)]), ngram_join.map_bits(len(m)))[0] for m in members]
+    marked = ngram_join.partnered(maps, np.array([len(m) for m in members]), known, side)
+    for i in range(n):
+        for j in range(i):
+            both = len(np.intersect1d(members[i], members[j]))
+            if 100 * both >= 80 * (len(members[i]) + len(members[j]) - both) and known[i] != known[j]:
+                if side[i] != side[j] or side.min() == side.max():
+                    assert marked[i] and marked[j]
+
+
+def test_runs_of_any_length_are_listed(monkeypatch):
+    """Every pair of sets is in a list of its first common shingle, whatever the batches and the bounds."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    members = random_sets(rng, 60)
+    rows = sorted((int(t.view(np.int64)), len(m) << 32 | p, i) for i, m in enumerate(members) for p, t in enumerate(m[: ngram_join.prefix_length(len(m), 80)]))
+    similar = set()
+    for i in range(60):
+        for j in range(i):
+            both = len(np.intersect1d(members[i], members[j]))
+            if 100 * both >= 80 * (len(members[i]) + len(members[j]) - both):
+                similar.add((j, i))
+    assert similar
+    for longest, short, size in ((1 << 16, 8, 7), (3, 8, 2), (1, 2, 1000), (1 << 16, 3, 50)):
+        monkeypatch.setattr(ngram_join, "LONGEST", longest)
+        monkeypatch.setattr(ngram_join, "SHORT", short)
+        batches = []
+        for at in range(0, len(rows), size):
+            token, packed, cid = zip(*rows[at : at + size], strict=True)
+            salt = pa.array([-1] * len(token), pa.int32())
+            batches.append(pa.record_batch({"token": pa.array(token, pa.int64()), "cid": pa.array(cid, pa.int64()), "packed": pa.array(packed, pa.int64()), "salt": salt}))
+        lists = defaultdict(set)
+        for out in ngram_join._shared(batches, 80):
+            for name, n, cid in zip(*(out.column(c).to_pylist() for c in ("list", "n", "cid")), strict=True):
+                lists[name, n].add(cid)
+        assert all(n is None or n == len(own) for (_, n), own in lists.items())
+        assert all(any({i, j} <= own for own in lists.values()) for i, j in similar)
+
+
 def test_a_node_bounds_what_is_below_it():
     rng = np.random.default_rng(4)
     members = random_sets(rng, 70)
-    tree = ngram_join.SignatureTree(members, 256, 3)
+    ends = np.concatenate([[0], np.cumsum([len(m) for m in members])])
+    tree = ngram_join.SignatureTree(ngram_join.bitmaps(np.concatenate(members), ends, 256), np.diff(ends), 3)
     for level in range(4):
         for node in range(len(tree.low[level])):
             below = members[node * 8**level : (node + 1) * 8**level]
