@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.requirements import lines_of, stripped
 from ..functions.documents import json_object
-from .grouping import join_null_safe, order_in_group
+from .grouping import order_in_group
 
 # File names, suffixes and report texts.
 ARCHIVE_SUFFIX = ".tar.gz"
@@ -24,8 +24,6 @@ ERR_NO_LFS = "lfs-objects directory not found but lfs_enabled is True"
 ERR_FIRST_FULL = "First archive must be a full archive"
 
 BYTES_PER_MB = 1_048_576
-# Up to this count Spark keeps only the newest N rows of a group before it shuffles them.
-_LOCAL_TOP_N = 1_000
 
 
 # --- catalogue -------------------------------------------------------------------------
@@ -224,8 +222,9 @@ def retention(
 ) -> DataFrame:
     """Every archive with ``delete``: too old (strictly), or not among the newest ``max_count``.
 
-    An archive is kept only when it passes every given rule. Age counts back from ``as_of``;
-    equal times are ordered by key, the greater key being the newer.
+    An archive is kept only when it passes every given rule. Age counts back from ``as_of``; equal times are
+    ordered by key, the greater key being the newer. Rows that repeat both count one by one, ordered by a hash of all
+    their columns: of three equal rows and ``max_count=1`` two are deleted.
     """
     if max_age_days is None and max_count is None:
         raise ValueError("At least one of max_age_days or max_count must be specified")
@@ -236,25 +235,9 @@ def retention(
         return archives.withColumn("delete", too_old)
     if max_count <= 0:
         return archives.withColumn("delete", F.lit(True))
-    store = list(store)
-    newest = [F.col(mtime).desc(), F.col(key).desc()]
-    if max_count > _LOCAL_TOP_N:
-        ranked = order_in_group(archives, store, newest, "__rank")
-        return ranked.withColumn("delete", too_old | (F.col("__rank") > max_count)).drop("__rank")
-    # Rows below rank N are dropped in the scanning tasks, so a store with very many archives
-    # sends N rows per task to the window. Only its N-th newest archive is then compared.
-    slim = archives.select(*store, mtime, key)
-    rank = F.row_number().over(Window.partitionBy(*store).orderBy(*newest))
-    cutoff = (
-        slim.withColumn("__rank", rank)
-        .where(F.col("__rank") <= max_count)
-        .groupBy(*store)
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct(mtime, key)).alias("__cut"))
-        .where(F.col("__n") == max_count)
-    )
-    joined = join_null_safe(archives, cutoff.drop("__n"), store, "left")
-    beyond = F.coalesce(F.struct(mtime, key) < F.col("__cut"), F.lit(False))
-    return joined.withColumn("delete", too_old | beyond).drop("__cut")
+    tie = F.xxhash64(*[name for name, kind in archives.dtypes if "map<" not in kind])
+    ranked = order_in_group(archives, list(store), [mtime, key, tie], "__rank", backwards=True)
+    return ranked.withColumn("delete", too_old | (F.col("__rank") > max_count)).drop("__rank")
 
 
 def retention_summary(decisions: DataFrame, store: Sequence[str]) -> DataFrame:

@@ -1,26 +1,26 @@
 """Ordered work inside groups of any size, by one plan whatever the size.
 
-A window partitioned by a key sorts each key in one task, which fails for a key that holds a third
-of the table. The helpers here range-partition the rows once over (keys, order), so that a large
-group spreads over as many slices as it needs, number each slice as it streams by, and write it
-out. A group can reach over slices only at their ends; what it needs to know of the slices
-before it is one row a slice. Slices are as many as ``spark.sql.shuffle.partitions``.
+A window partitioned by a key sorts each key in one task, which fails for a key that holds a third of the table.
+Here a large group is cut into slices of its order, and the window is partitioned by (key, slice).
+
+Slices begin at rows that a hash picks, about one in ``SLICE_ROWS``, so that a small group has none. One narrow pass over
+keys and order finds them; there are never more than ``MOST_SLICES``, those of the smallest hashes, so they
+fit a broadcast whatever the size of the table. A row finds its slice by binary search among its group's. A second
+narrow pass, over the groups that have slices, brings one row a slice: what the slices before it contribute. Full rows
+are exchanged once, on (key, slice), and never written. Everything is column expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
-
-_EXTRA = "`__slice` int, `__nth` bigint, `__head` boolean, `__last` boolean"
+#: About as many rows begin a new slice of their group.
+SLICE_ROWS = 1 << 18
+#: Slices of all groups together, at most.
+MOST_SLICES = 1 << 18
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -36,107 +36,94 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*own.values())
 
 
-def _differ(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Where two columns differ; nulls equal each other, and so do values that are no numbers."""
-    unequal = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
-    if pa.types.is_floating(a.type):
-        unequal = unequal & ~pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False).to_numpy(zero_copy_only=False)
-    nulls = [pc.is_null(x).to_numpy(zero_copy_only=False) for x in (a, b)]
-    return unequal | (nulls[0] != nulls[1])
-
-
-def _shifted(column: pa.Array, before: pa.Array | None) -> pa.Array:
-    """The column one row later, with the last value of ``before`` in front."""
-    first = pa.nulls(1, column.type) if before is None else before.slice(len(before) - 1)
-    return pa.concat_arrays([first, column.slice(0, len(column) - 1)])
-
-
-def _marker(keys: list[str], lagged: dict[str, str]):
-    """Number the rows of one sorted slice inside their groups and attach values of the row before."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, before, held, reached, head = TaskContext.get().partitionId(), None, None, 0, True
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            new = np.zeros(n, bool)
-            for key in keys:
-                own = batch.column(key)
-                new |= _differ(own, _shifted(own, before and before.column(key)))
-            if before is None:
-                new[0] = False
-            at = np.arange(n)
-            began = np.maximum.accumulate(np.where(new, at, -1))
-            nth = np.where(began < 0, reached + at + 1, at - began + 1)
-            heads = head & (began < 0)
-            names, columns = list(batch.schema.names), list(batch.columns)
-            for column, name in lagged.items():
-                own = batch.column(column)
-                previous = _shifted(own, before and before.column(column))
-                columns.append(pc.if_else(pa.array(new), pa.nulls(n, own.type), previous))
-                names.append(name)
-            columns += [pa.array(np.full(n, number, np.int32)), pa.array(nth), pa.array(heads), pa.array(np.zeros(n, bool))]
-            if held is not None:
-                yield held
-            held = pa.record_batch(columns, [*names, "__slice", "__nth", "__head", "__last"])
-            before, reached, head = batch, int(nth[-1]), bool(heads[-1])
-        if held is not None:
-            last = np.zeros(held.num_rows, bool)
-            last[-1] = True
-            yield held.set_column(held.num_columns - 1, "__last", pa.array(last))
-
-    return run
-
-
-def _slices(df: DataFrame, keys: list[str], order: list[Column], lagged: dict[str, str] | None = None) -> DataFrame:
-    """Rows in slices over (keys, order), each with its slice, its number among its group's rows there,
-    whether that group is the slice's first and whether the row is the slice's last.
-
-    Written out once: every later step must see the same slice boundaries.
-    """
-    lagged = lagged or {}
-    by = [*(F.col(k) for k in keys), *order]
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    shape = ", ".join([*(f"`{n}` {t}" for n, t in types.items()), *(f"`{n}` {types[c]}" for c, n in lagged.items()), _EXTRA])
-    return durable(df.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_marker(keys, lagged), shape), "slices")
-
-
-def _ends(sliced: DataFrame, keys: list[str], values: Column) -> DataFrame:
-    """First and last rows of the slices, and ``values`` of the last ones. ``__turn`` puts first before last."""
-    last = sliced.where("__last").select(*keys, "__slice", F.lit(1).alias("__turn"), values.alias("__values"))
-    first = sliced.where("__head and __nth = 1").select(*keys, "__slice", F.lit(0).alias("__turn"), F.lit(None).alias("__values"))
-    return first.unionAll(last)
-
-
-def _carried(sliced: DataFrame, ends: DataFrame, found: Column) -> DataFrame:
-    """``sliced`` with what its slice's first group has in the slices before, one row a slice."""
-    carried = ends.withColumn("__carried", found).where("__turn = 0").select("__slice", "__carried")
-    return sliced.join(F.broadcast(carried), "__slice", "left")
-
+def _starts(narrow: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group the places where its slices begin, in order. Groups without any are not listed."""
+    picked = narrow.select(*keys, "__place", F.xxhash64(*keys, "__place").alias("__hash"))
+    share = (1 << 64) // SLICE_ROWS
+    picked = picked.where(F.col("__hash") < F.lit(-(1 << 63) + share)) if SLICE_ROWS > 1 else picked
+    few = picked.orderBy("__hash").limit(MOST_SLICES)
+    return F.broadcast(few.groupBy(*keys).agg(F.sort_array(F.collect_set("__place")).alias("__starts")))
+
+
+def _slice() -> Column:
+    """How many of its group's slices begin at or before the row's place, by binary search."""
+    starts, place = F.col("__starts"), F.col("__place")
+
+    def halve(reach: Column, _: Column) -> Column:
+        middle = F.floor((reach["low"] + reach["high"]) / 2).cast("int")
+        after = F.get(starts, middle) <= place
+        low = F.when((reach["low"] < reach["high"]) & after, middle + 1).otherwise(reach["low"])
+        high = F.when((reach["low"] < reach["high"]) & ~after, middle).otherwise(reach["high"])
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    whole = F.struct(F.lit(0).alias("low"), F.size(starts).alias("high"))
+    turns = F.sequence(F.lit(1), F.lit(MOST_SLICES.bit_length() + 1))
+    return F.when(starts.isNull(), 0).otherwise(F.aggregate(turns, whole, halve, lambda reach: reach["low"]))
+
+
+class _Sliced:
+    """Rows with their slice, and the same for the narrow columns of groups that have several."""
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], backwards: bool):
+        # A table that is one group has a key that is the same everywhere, but not to the optimizer.
+        single = (F.hash(*order) * 0).alias("__single")
+        place = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)])
+        self.keys = list(keys) or ["__single"]
+        self.backwards = backwards
+        placed = df.select("*", *([] if keys else [single]), place.alias("__place"))
+        self.placed = placed
+        self.starts = _starts(placed.select(*self.keys, "__place"), self.keys)
+        found = join_null_safe(placed, self.starts, self.keys, "left")
+        self.rows = found.withColumn("__slice", _slice()).drop("__starts")
+
+    def window(self):
+        """A group's rows of one slice, in order."""
+        place = F.col("__place")
+        return Window.partitionBy(*self.keys, "__slice").orderBy(place.desc() if self.backwards else place.asc())
+
+    def summaries(self, *values: Column) -> DataFrame:
+        """``values`` over the rows of each slice, for the groups that have several."""
+        cut = join_null_safe(self.placed, self.starts, self.keys).withColumn("__slice", _slice()).drop("__starts")
+        return cut.groupBy(*self.keys, "__slice").agg(*values)
+
+    def along(self):
+        """A group's slices, in order."""
+        place = F.col("__slice")
+        return Window.partitionBy(*self.keys).orderBy(place.desc() if self.backwards else place.asc())
+
+    def with_summaries(self, rows: DataFrame, summaries: DataFrame) -> DataFrame:
+        # One row a slice, and a group has at most one slice more than it has starts.
+        return join_null_safe(rows, F.broadcast(summaries), [*self.keys, "__slice"], "left")
+
+
+def order_in_group(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "position", backwards: bool = False
+) -> DataFrame:
+    """Exact 1-based rank of every row inside its group, from the first on or ``backwards`` from the last.
 
-def order_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position") -> DataFrame:
-    """Exact 1-based rank of every row inside its group. ``order`` must be a total order."""
-    keys = list(keys)
-    sliced = _slices(df, keys, list(order))
-    before = Window.partitionBy(*keys).orderBy("__slice", "__turn").rowsBetween(Window.unboundedPreceding, -1)
-    joined = _carried(sliced, _ends(sliced, keys, F.col("__nth")), F.sum("__values").over(before))
-    earlier = F.when(F.col("__head"), F.coalesce("__carried", F.lit(0))).otherwise(0)
-    return joined.select(*df.columns, (F.col("__nth") + earlier).alias(name))
+    ``order`` must be a total order; it is ascending, nulls first. Rows equal in all of it are numbered in any order.
+    """
+    sliced = _Sliced(df, keys, order, backwards)
+    earlier = F.sum("__n").over(sliced.along().rowsBetween(Window.unboundedPreceding, -1))
+    counts = sliced.summaries(F.count(F.lit(1)).alias("__n"))
+    before = counts.select(*sliced.keys, "__slice", F.coalesce(earlier, F.lit(0)).alias("__before"))
+    ranked = sliced.rows.withColumn("__nth", F.row_number().over(sliced.window()))
+    joined = sliced.with_summaries(ranked, before)
+    return joined.select(*df.columns, (F.col("__nth") + F.coalesce("__before", F.lit(0))).cast("bigint").alias(name))
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: dict[str, str]
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], columns: dict[str, str], following: bool = False
 ) -> DataFrame:
-    """Attach columns of the preceding row of the same group; ``columns`` maps source to new name.
-
-    To look at the following row, pass the opposite order.
-    """
-    keys = list(keys)
-    sliced = _slices(df, keys, list(order), columns)
-    step = Window.partitionBy(*keys).orderBy("__slice", "__turn")
-    joined = _carried(sliced, _ends(sliced, keys, F.struct(*columns)), F.lag("__values").over(step))
-    starts = F.col("__head") & (F.col("__nth") == 1)
-    return joined.select(
-        *df.columns, *[F.when(starts, F.col("__carried")[c]).otherwise(F.col(n)).alias(n) for c, n in columns.items()]
-    )
+    """Attach columns of the preceding, or the ``following``, row of the same group; ``columns`` maps source to new name."""
+    sliced = _Sliced(df, keys, order, following)
+    last = (F.min_by if following else F.max_by)(F.struct(*columns), "__place")
+    ends = sliced.summaries(last.alias("__last"))
+    carried = ends.select(*sliced.keys, "__slice", F.lag("__last").over(sliced.along()).alias("__carried"))
+    window = sliced.window()
+    lagged = [F.lag(c).over(window).alias(f"__lag_{i}") for i, c in enumerate(columns)]
+    rows = sliced.rows.select("*", F.row_number().over(window).alias("__nth"), *lagged)
+    joined = sliced.with_summaries(rows, carried)
+    starts = F.col("__nth") == 1
+    values = [F.when(starts, F.col("__carried")[c]).otherwise(F.col(f"__lag_{i}")).alias(n) for i, (c, n) in enumerate(columns.items())]
+    return joined.select(*df.columns, *values)

@@ -28,12 +28,16 @@ affects speed. Edges to commits that are not listed (a shallow boundary) are ign
 from __future__ import annotations
 
 import itertools
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable, durable_counted
 
+if TYPE_CHECKING:
+    from .reachability import CommitIndex
+
 _CYCLE = "the commit graph has a cycle"
 # About one commit in this many ends a segment.
 _SEGMENT = 64
@@ -53,21 +57,37 @@ class History:
         self.lengths = places.groupBy("repo", "line").agg((F.max("depth") + 1).alias("length"))
         self.last_blocks = links.groupBy("repo", "from_line").agg(F.max("block").alias("last_block"))
 
+    def reach(self, heads: DataFrame) -> DataFrame:
+        return _search(self, heads)
 
-def place_commits(commits: DataFrame) -> History:
+    def is_ancestor(self, pairs: DataFrame) -> DataFrame:
+        return _tested(self, pairs)
+
+
+def first_parents(commits: DataFrame) -> DataFrame:
+    """(repo, sha, parent), one row a commit, with its first parent."""
     if "parent_no" in commits.columns:
         preference = F.struct("parent_no", "parent")
     else:
         preference = F.col("parent")
-    nodes = durable(commits.groupBy("repo", "sha").agg(F.min_by("parent", preference).alias("parent")), "nodes")
+    return commits.groupBy("repo", "sha").agg(F.min_by("parent", preference).alias("parent"))
+
+
+def place_lines(nodes: DataFrame) -> DataFrame:
+    """(repo, sha, line, depth) of commits with their first parents."""
     places, segments = _segments(nodes)
     lines = _heavy_lines(segments)
-    places = durable(
+    return durable(
         places.join(lines, ["repo", "segment"]).select(
             "repo", "sha", "line", (F.col("inside") + F.col("offset")).alias("depth")
         ),
         "places",
     )
+
+
+def place_commits(commits: DataFrame) -> History:
+    """The graph for one question; ``reachability.CommitIndex`` keeps it for many and grows with the commits."""
+    places = place_lines(durable(first_parents(commits), "nodes"))
     child = places.select("repo", "sha", F.col("line").alias("from_line"), F.col("depth").alias("from_depth"))
     parent = places.select(
         "repo", F.col("sha").alias("parent"), F.col("line").alias("to_line"), F.col("depth").alias("to_depth")
@@ -194,11 +214,15 @@ def _block(depth: str) -> Column:
 def reach(history: History, heads: DataFrame) -> DataFrame:
     """(repo, head, line, entry): from ``head`` every commit of ``line`` at depth >= entry.
 
-    ``heads`` has (repo, head). Heads that are not in the history have no rows. The number of
-    rounds is the number of times a path changes lines, not its length. The result has one
-    row per head and line below it, so ask about the heads that matter (branch tips), not
-    about every commit.
+    ``history`` is a ``History`` or a ``reachability.CommitIndex``. ``heads`` has (repo, head). Heads that are not in
+    the history have no rows. The result has one row per head and line below it, so ask about the heads that
+    matter (branch tips), not about every commit.
     """
+    return history.reach(heads)
+
+
+def _search(history: History, heads: DataFrame) -> DataFrame:
+    """``reach`` in rounds; their number is the number of times a path changes lines, not its length."""
     key = ["repo", "head", "line"]
     start = history.places.select("repo", F.col("sha").alias("head"), "line", F.col("depth").alias("entry"))
     start = start.join(heads.select("repo", "head").distinct(), ["repo", "head"], "left_semi")
@@ -238,14 +262,18 @@ def reach(history: History, heads: DataFrame) -> DataFrame:
 def is_ancestor(history: History, pairs: DataFrame) -> DataFrame:
     """Per (repo, old, new): whether old is reachable from new. A commit is its own ancestor.
 
-    Null where either commit is unknown, which callers decide on. Depths decide pairs on one line, most
-    moves of a branch; only the others are followed over the graph.
+    Null where either commit is unknown, which callers decide on.
     """
+    return history.is_ancestor(pairs)
+
+
+def _tested(history: History, pairs: DataFrame) -> DataFrame:
+    """Depths decide pairs on one line, most moves of a branch; only the others are followed over the graph."""
     old = history.places.select("repo", F.col("sha").alias("old"), "line", "depth")
     new = history.places.select("repo", F.col("sha").alias("new"), F.col("line").alias("new_line"), F.col("depth").alias("new_depth"))
     wanted = pairs.select("repo", "old", "new").distinct()
     placed = durable(wanted.join(old, ["repo", "old"], "left").join(new, ["repo", "new"], "left"), "pairs")
-    reached = reach(history, placed.where("line <> new_line").select("repo", F.col("new").alias("head")))
+    reached = _search(history, placed.where("line <> new_line").select("repo", F.col("new").alias("head")))
     entries = reached.select("repo", F.col("head").alias("new"), "line", "entry")
     joined = placed.join(entries, ["repo", "new", "line"], "left")
     along = F.when(F.col("line") == F.col("new_line"), F.col("new_depth")).otherwise(F.col("entry"))
@@ -326,22 +354,25 @@ def new_commits(history: History, moves: DataFrame) -> DataFrame:
 
 
 def divergence(
-    commits: DataFrame, left: DataFrame, right: DataFrame, history: str = "union", right_commits: DataFrame | None = None
+    commits: DataFrame | None, left: DataFrame, right: DataFrame, history: str = "union", right_commits: DataFrame | None = None,
+    index: CommitIndex | None = None,
 ) -> DataFrame:
     """Branches on both sides whose tips differ and where neither is an ancestor of the other.
 
+    ``index``, a ``reachability.CommitIndex`` of the histories to look at, takes the place of commits.
+
     ``history='left'`` looks at the left side's commits only, so a right tip unknown there
     counts as diverged even when the right side is simply ahead. ``'union'`` also uses
     ``right_commits`` and recognises that case. ``left``/``right`` have (repo, branch, tip).
     """
     if history not in ("union", "left"):
         raise ValueError(f"unknown history: {history}")
-    if history == "union" and right_commits is not None:
+    if index is None and history == "union" and right_commits is not None:
         commits = commits.unionByName(right_commits).distinct()
     both = left.select("repo", "branch", F.col("tip").alias("left_tip")).join(
         right.select("repo", "branch", F.col("tip").alias("right_tip")), ["repo", "branch"]
     ).where("left_tip <> right_tip")
-    placed = place_commits(commits)
+    placed = index or place_commits(commits)
     down = both.select("repo", F.col("left_tip").alias("new"), F.col("right_tip").alias("old"))
     up = both.select("repo", F.col("right_tip").alias("new"), F.col("left_tip").alias("old"))
     related = is_ancestor(placed, down.unionByName(up)).where("is_ancestor")

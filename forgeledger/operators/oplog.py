@@ -335,8 +335,7 @@ def operation_pairing(notices: DataFrame, order: Sequence[Column], key: str = "u
     ``notices(url, state, ts, ...)`` holds started, completed and failed notices. A start that
     is followed by another start, or by nothing, is unfinished.
     """
-    opposite = [_opposite(o) for o in order]
-    following = with_previous(notices, [key], opposite, {"state": "next_state", "ts": "next_ts"})
+    following = with_previous(notices, [key], order, {"state": "next_state", "ts": "next_ts"}, following=True)
     done = F.coalesce(F.col("next_state").isin("completed", "failed"), F.lit(False))
     micros = F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     return following.where("state = 'started'").select(
@@ -345,8 +344,3 @@ def operation_pairing(notices: DataFrame, order: Sequence[Column], key: str = "u
         F.when(done, F.col("next_state")).otherwise("unfinished").alias("outcome"),
         F.when(done, micros / F.lit(1_000_000.0)).alias("duration_seconds"),
     )
-
-
-def _opposite(column: Column | str) -> Column:
-    """Order columns are given ascending; the following row is the previous one backwards."""
-    return F.col(column).desc() if isinstance(column, str) else column.desc()

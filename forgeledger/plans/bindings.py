@@ -99,6 +99,23 @@ VIEWS = {
         from {conversations}
         union all
         select conv_id, conv_id * 1000 + turn, conv_id * 1000 + turn - 3, 1 from {conversations} where turn % 5 = 4""",
+    # Few repositories with long histories. Every fortieth commit leaves three behind on a side branch, and two of three
+    # such branches are merged back later.
+    "v_deep_numbered": """
+        select o_orderkey % 5 as repo, o_orderkey as sha, o_orderpriority as priority, o_orderstatus as status, o_orderdate as ts,
+               row_number() over (partition by o_orderkey % 5 order by o_orderkey) as nth,
+               lag(o_orderkey) over (partition by o_orderkey % 5 order by o_orderkey) as before,
+               lag(o_orderkey, 4) over (partition by o_orderkey % 5 order by o_orderkey) as fork,
+               lag(o_orderkey, 11) over (partition by o_orderkey % 5 order by o_orderkey) as side from {orders}""",
+    "v_deep_commits": """
+        select repo, sha, case when nth % 40 = 0 then fork else before end as parent, 0 as parent_no from {v_deep_numbered}
+        union all
+        select repo, sha, side, 1 from {v_deep_numbered} where nth % 40 = 10 and nth % 120 <> 10 and nth > 11""",
+    # A branch for each priority and year; it was at its last finished commit and is at its last one.
+    "v_deep_moves": """
+        select repo, priority || '-' || cast(extract(year from ts) as varchar(10)) as branch,
+               max(case when status = 'F' then sha end) as old, max(sha) as new
+        from {v_deep_numbered} group by repo, priority || '-' || cast(extract(year from ts) as varchar(10))""",
     "v_tips": """
         select conv_id as repo, max(turn) as m, conv_id * 1000 + max(turn) as tip from {conversations} group by conv_id""",
     # Moves of refs: forward, sideways onto a fork, rewound, and to a commit nobody has.

@@ -18,8 +18,11 @@ from ..operators import naming as N
 from ..operators import oplog as L
 from ..operators import selection as S
 from ..operators.grouping import order_in_group
-from ..session import configure, scratch_path
-from ..sources import snapshots, tables
+from ..operators.reachability import CommitIndex
+from ..session import application_path, configure, scratch_path
+from ..sources import tables
+from ..sources.state_table import StateTable
+from ..sources.updates import UpdateTable
 from ..streaming import jobs as J
 from .bindings import Source, standalone_sql
 
@@ -380,8 +383,26 @@ _ANCESTORS = """with recursive heads as ({heads}),
     """
 
 
-def _ancestors(heads: str) -> str:
-    return _ANCESTORS.replace("{heads}", heads)
+def _ancestors(heads: str, commits: str = "{v_commits}") -> str:
+    return _ANCESTORS.replace("{heads}", heads).replace("{v_commits}", commits)
+
+
+def _commit_index(s: Source, view: str, table: str, batches: int = 1) -> CommitIndex:
+    """The index of a view's commits, stored once for an application and the state of the supplied table.
+
+    Commits come in batches of about equal ranges of their numbers; those that are there already are left out.
+    """
+    index = CommitIndex(s.spark, application_path(s.spark, "commit-index", view, s.folder, tables.stamp(s.spark, f"{s.folder}/{table}.parquet")))
+    commits, known = s[view], index.ledger.current()
+    if known is None or known["batch"] < batches - 1:
+        ends = commits.agg(F.min("sha"), F.max("sha")).first()
+        if ends[0] is not None:
+            step = (ends[1] - ends[0]) / batches
+            for i in range(batches):
+                above = F.lit(True) if not i else F.col("sha") > ends[0] + i * step
+                below = F.lit(True) if i == batches - 1 else F.col("sha") <= ends[0] + (i + 1) * step
+                index.extend(commits.where(above & below), i)
+    return index
 
 
 @query(
@@ -389,7 +410,7 @@ def _ancestors(heads: str) -> str:
     _ancestors("select distinct repo, new as head from {v_moves}") + "select repo, head, count(*) as n_ancestors from up group by repo, head",
 )
 def _(s):
-    history = H.place_commits(s["v_commits"])
+    history = _commit_index(s, "v_commits", "conversations")
     return H.ancestor_counts(history, s["v_moves"].select("repo", F.col("new").alias("head")))
 
 
@@ -399,7 +420,38 @@ def _(s):
     + "select m.repo, m.branch, m.old, m.new, u.sha is null as forced from {v_moves} m left join up u on u.repo = m.repo and u.head = m.new and u.sha = m.old",
 )
 def _(s):
-    return H.force_push(H.place_commits(s["v_commits"]), s["v_moves"])
+    return H.force_push(_commit_index(s, "v_commits", "conversations"), s["v_moves"])
+
+
+# Histories thousands of commits deep, indexed in two batches.
+_DEEP = """with recursive commits as materialized (select repo, sha, parent from {v_deep_commits}), moves as materialized (select * from {v_deep_moves}),
+    heads as (select repo, new as head from moves union select repo, old from moves where old is not null),
+    up(repo, head, sha) as (
+      select repo, head, head from heads
+      union
+      select u.repo, u.head, c.parent from up u join commits c on c.repo = u.repo and c.sha = u.sha where c.parent is not null)
+    """
+
+
+@query(
+    "deep_force_push",
+    _DEEP
+    + """select m.repo, m.branch, m.old, m.new, u.sha is null as forced from moves m left join up u on u.repo = m.repo and u.head = m.new and u.sha = m.old""",
+)
+def _(s):
+    return H.force_push(_commit_index(s, "v_deep_commits", "orders", 2), s["v_deep_moves"])
+
+
+@query(
+    "deep_new_commit_counts",
+    _DEEP
+    + """select m.repo, m.branch, m.old, m.new, m.old is null or m.old <> m.new as has_new_commits,
+    case when m.old is null then 1 when m.old = m.new then 0 else count(u.sha) filter (v.sha is null) end as new_commit_count
+    from moves m left join up u on u.repo = m.repo and u.head = m.new left join up v on v.repo = m.repo and v.head = m.old and v.sha = u.sha
+    group by m.repo, m.branch, m.old, m.new""",
+)
+def _(s):
+    return H.new_commit_counts(_commit_index(s, "v_deep_commits", "orders", 2), s["v_deep_moves"])
 
 
 _NEW_COMMITS = _ancestors("select repo, new as head from {v_heads} union select repo, old from {v_heads}")
@@ -413,7 +465,7 @@ _NEW_COMMITS = _ancestors("select repo, new as head from {v_heads} union select
     (select 1 from up v where v.repo = h.repo and v.head = h.old and v.sha = u.sha))""",
 )
 def _(s):
-    return H.new_commits(H.place_commits(s["v_commits"]), s["v_heads"])
+    return H.new_commits(_commit_index(s, "v_commits", "conversations"), s["v_heads"])
 
 
 @query(
@@ -424,7 +476,7 @@ def _(s):
     (select 1 from up v where v.repo = h.repo and v.head = h.old and v.sha = u.sha)) end as new_commit_count from {v_heads} h""",
 )
 def _(s):
-    return H.new_commit_counts(H.place_commits(s["v_commits"]), s["v_heads"])
+    return H.new_commit_counts(_commit_index(s, "v_commits", "conversations"), s["v_heads"])
 
 
 @query(
@@ -437,7 +489,7 @@ def _(s):
     sides = s["v_two_sides"]
     left = sides.select("repo", "branch", F.col("left_tip").alias("tip"))
     right = sides.select("repo", "branch", F.col("right_tip").alias("tip"))
-    return H.divergence(s["v_commits"], left, right)
+    return H.divergence(None, left, right, index=_commit_index(s, "v_commits", "conversations"))
 
 
 def _resolve_oracle(action: str, final: str, success: str) -> str:
@@ -1178,8 +1230,8 @@ class StreamSource(Source):
 
 def _streamed(s: Source, stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
     folder = scratch_path(s.spark, "stream")
-    J.run_available(stream, J.update_folder(folder + "/out"), folder + "/checkpoint", mode)
-    return J.read_updates(s.spark, folder + "/out", stream.schema, keys)
+    J.run_available(stream, J.update_table_sink(folder + "/out", stream.schema, keys), folder + "/checkpoint", mode)
+    return UpdateTable(s.spark, folder + "/out", stream.schema, keys).read()
 
 
 def _zoneless(df: DataFrame, *columns: str) -> DataFrame:
@@ -1211,8 +1263,8 @@ def _(s):
     live = StreamSource(s.spark, s.folder)
     writes = live["v_log"].select(F.col("repository").alias("repo"), "ts", F.col("event_id").alias("seq"), "status", "commits_synced")
     folder = scratch_path(s.spark, "state")
-    J.run_available(writes, J.state_snapshot_sink(folder + "/out", writes.schema), folder + "/checkpoint", "append")
-    return _zoneless(J.read_snapshot(s.spark, folder + "/out", writes.schema), "ts")
+    J.run_available(writes, J.state_table_sink(folder + "/out", writes.schema), folder + "/checkpoint", "append")
+    return _zoneless(StateTable(s.spark, folder + "/out", writes.schema).read(), "ts")
 
 
 @query(
@@ -1323,11 +1375,12 @@ def _(s):
     "select repo, ts, seq, last_commit, branch from (select *, row_number() over (partition by repo order by ts desc, seq desc) as rn from {v_state_log}) t where rn = 1",
 )
 def _(s):
-    path, log = scratch_path(s.spark, "snapshots"), s["v_state_log"]
-    first = C.latest_state(log.where("branch <> '1-URGENT'"), ["repo"], ["ts", "seq"])
-    snapshots.write_snapshot(first, path, 0)
-    before = snapshots.read_snapshot(s.spark, path, log.schema, 0)
-    snapshots.write_snapshot(C.latest_state(before.unionByName(log.where("branch = '1-URGENT'")), ["repo"], ["ts", "seq"]), path, 1)
-    # A version that exists already is left alone.
-    snapshots.write_snapshot(first, path, 1)
-    return snapshots.read_snapshot(s.spark, path, log.schema)
+    log = s["v_state_log"]
+    table = StateTable(s.spark, scratch_path(s.spark, "state"), log.schema, buckets=16)
+    table.merge(log.where("branch <> '1-URGENT'"), 0)
+    table.merge(log.where("branch = '1-URGENT' and repo < 1000"), 1)
+    # A batch that was taken in already is left alone.
+    table.merge(log.where("branch = '1-URGENT'"), 1)
+    table.merge(log.where("branch = '1-URGENT' and repo >= 1000"), 2)
+    table.expire(2)
+    return table.read()

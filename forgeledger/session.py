@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -69,6 +70,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/forgeledger/{application}/{label}-{uuid.uuid4().hex}"
 
 
+def application_path(spark: SparkSession, label: str, *of: str) -> str:
+    """The path of something kept as long as the application, always the same for the same ``of``."""
+    name = hashlib.sha256("\0".join(of).encode()).hexdigest()[:24]
+    return f"{shared_folder(spark).rstrip('/')}/forgeledger/{spark.sparkContext.applicationId}/{label}-{name}"
+
+
 def durable(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -19,6 +19,13 @@ def parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFr
     return reader.parquet(path)
 
 
+def stamp(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files: another text as soon as the table is another one."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = location.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(location)
+    return ";".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+
+
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw lines of JSON logs; ``operators.oplog.log_scan`` types them."""
     return spark.read.text(path)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..operators.changes import latest_state
 from ..operators.oplog import success_rate, threshold_alerts, window_start
 from ..sources.snapshots import exists, read_snapshot, versions, write_snapshot
+from ..sources.state_table import StateTable
+from ..sources.updates import UpdateTable
 
 
 def stream_errors(logs: DataFrame, width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -93,6 +95,30 @@ def run_available(
     query.awaitTermination()
 
 
+def update_table_sink(path: str, schema, keys: Sequence[str], keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink into an ``UpdateTable``: a reader opens one folder a level, however many batches there were."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table = UpdateTable(batch.sparkSession, path, schema, keys)
+        if table.add(batch, batch_id):
+            table.expire(keep)
+
+    return write
+
+
+def state_table_sink(
+    path: str, schema, keys: Sequence[str] = ("repo",), order: Sequence[str] = ("ts", "seq"), buckets: int = 64, keep: int = 2
+) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink into a ``StateTable``: a batch rewrites the buckets it touches, and the newest versions stay."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table = StateTable(batch.sparkSession, path, schema, keys, order, buckets)
+        if table.merge(batch, batch_id):
+            table.expire(keep)
+
+    return write
+
+
 def state_snapshot_sink(path: str, schema, keys: Sequence[str] = ("repo",), order: Sequence[str] = ("ts", "seq")):
     """foreachBatch sink that merges writes into a versioned state snapshot.
 

@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from forgeledger.operators import grouping  # noqa: E402
 from forgeledger.session import local_session  # noqa: E402
 
 
@@ -17,8 +18,9 @@ def spark():
 
 
 @pytest.fixture
-def many_slices(spark):
-    """Keep range partitions apart, so that groups of small data reach over several of them."""
+def many_slices(spark, monkeypatch):
+    """Slices of a few rows, so that groups of small data reach over several of them."""
+    monkeypatch.setattr(grouping, "SLICE_ROWS", 16)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "9")
     yield spark

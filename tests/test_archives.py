@@ -53,16 +53,20 @@ def test_equal_times_keep_the_greater_key_and_stores_are_separate(spark):
     assert sorted((r.store or "", r.key[1:3]) for r in decided.where("delete").collect()) == [("s", "00"), ("s", "01")]
 
 
-def test_large_counts_take_the_ranking_path(many_slices):
+def test_counts_of_any_size_take_one_path(many_slices):
     df = aged(many_slices, range(1500))
-    few = A.retention(df, ["store"], max_count=1000)
-    many = A.retention(df, ["store"], max_count=1001)
-    assert (few.where("delete").count(), many.where("delete").count()) == (500, 499)
-
-
-def test_local_top_n_runs_before_the_shuffle(spark):
-    plan = A.retention(aged(spark, [1]), ["store"], max_count=3)._jdf.queryExecution().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    for count in (1, 999, 1000, 1001, 1499, 1500):
+        assert A.retention(df, ["store"], max_count=count).where("delete").count() == 1500 - count
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 5, 1001])
+def test_repeated_rows_at_the_cut_count_one_by_one(many_slices, count):
+    df = aged(many_slices, [7, 7, 3]).withColumn("key", F.lit("same"))
+    df = df.unionAll(df.where("store = 's'")).withColumn("note", F.lit("n"))
+    decided = A.retention(df, ["store"], max_count=count)
+    assert decided.where("delete").count() == max(0, 6 - count)
+    ages = [r.mtime for r in decided.where("not delete").collect()]
+    assert sorted(ages, reverse=True) == sorted((r.mtime for r in df.collect()), reverse=True)[:count]
 
 
 @pytest.fixture
