@@ -74,12 +74,14 @@ class _Sliced:
         self.placed = placed
         self.starts = _starts(placed.select(*self.keys, "__place"), self.keys)
         found = join_null_safe(placed, self.starts, self.keys, "left")
-        self.rows = found.withColumn("__slice", _slice()).drop("__starts")
+        self.rows = found.withColumn("__slice", _slice()).drop("__starts", "__place")
+        self.order = [F.col(o) if isinstance(o, str) else o for o in order]
 
     def window(self):
         """A group's rows of one slice, in order."""
-        place = F.col("__place")
-        return Window.partitionBy(*self.keys, "__slice").orderBy(place.desc() if self.backwards else place.asc())
+        # Single columns sort faster than a struct of them, and need not travel twice.
+        order = [o.desc_nulls_last() if self.backwards else o.asc_nulls_first() for o in self.order]
+        return Window.partitionBy(*self.keys, "__slice").orderBy(*order)
 
     def summaries(self, *values: Column) -> DataFrame:
         """``values`` over the rows of each slice, for the groups that have several."""

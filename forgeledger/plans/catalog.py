@@ -1263,7 +1263,7 @@ def _(s):
     live = StreamSource(s.spark, s.folder)
     writes = live["v_log"].select(F.col("repository").alias("repo"), "ts", F.col("event_id").alias("seq"), "status", "commits_synced")
     folder = scratch_path(s.spark, "state")
-    J.run_available(writes, J.state_table_sink(folder + "/out", writes.schema), folder + "/checkpoint", "append")
+    J.run_available(writes, J.state_table_sink(folder + "/out", writes.schema, buckets=16), folder + "/checkpoint", "append")
     return _zoneless(StateTable(s.spark, folder + "/out", writes.schema).read(), "ts")
 
 
