@@ -39,11 +39,22 @@ class _Apart(Exception):
     """The text has blanks next to each other and is encoded whole."""
 
 
+def _byte_names() -> dict[int, int]:
+    """The characters by which a byte-level model names bytes: printable ones name themselves, the others, in order, those from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + n for n, b in enumerate(others)}
+
+
+_BYTE_NAMES = _byte_names()
+
+
 class PieceIds(dict):
     """Ids, as little-endian bytes, of a space and the letters up to the next space.
 
     A byte-level tokenizer of this kind starts a new piece at a space between two characters that are not
     blank, so such a text's ids are its parts' ids one after another. The same holds at a single line end.
+    Letters, with a space before them or without, are one piece, which goes straight to the tokenizer's model.
     """
 
     def __init__(self, path: str):
@@ -52,10 +63,16 @@ class PieceIds(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.line_end = self.encode("\n")
+        self.model = self.tokenizer.model
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def letters(self, piece: str) -> bytes:
+        """Ids of letters, with a space before them or without."""
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_NAMES))
+        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+
     def __missing__(self, part: str) -> bytes:
         """Ids of a space and ``part``; a key that begins with a space, as no part does, asks for what follows it alone."""
         raw = part[:1] == " "
@@ -71,7 +88,7 @@ class PieceIds(dict):
             # Letters and the marks after them are separate pieces.
             found = self[" " + head if raw else head] + self[" " + rest[len(head) :]]
         else:
-            found = self.encode(rest if raw else " " + rest)
+            found = (self.letters if rest.isalpha() else self.encode)(rest if raw else " " + rest)
         if len(self) >= REMEMBERED:
             self.clear()
         self[part] = found
@@ -82,7 +99,10 @@ class PieceIds(dict):
         if len(parts) < 3 or not parts[0] or parts[0][-1].isspace() or not parts[-1] or parts[-1][0].isspace():
             return self.encode(text) if text else b""
         try:
-            return b"".join([self.encode(parts[0]), *map(self.__getitem__, parts[1:-1]), self.encode(" " + parts[-1])])
+            if parts[-1][-1:].isspace():
+                return b"".join([self[" " + parts[0]], *map(self.__getitem__, parts[1:-1]), self.encode(" " + parts[-1])])
+            parts[0] = " " + parts[0]
+            return b"".join(map(self.__getitem__, parts))
         except _Apart:
             return self.encode(text)
 
