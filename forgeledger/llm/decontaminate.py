@@ -7,9 +7,11 @@ of the smaller counts is at least 0.75 of the sum of the larger ones.
 1. Such a window holds at least ``1.5 / 1.75`` of its shingles in the benchmark. Sums over a document's shingles
    that are in the benchmark leave the windows that can match; none that matches is lost.
 2. These windows have a 64-bit SimHash. A shingle votes once for each time it occurs, the n-th time with a hash of its own, so
-   that votes are distinct and similarity is the share of equal ones, repeats or not. Fingerprints are cut into ``BLOCKS`` blocks; two within ``RADIUS`` bits have a block within ``RADIUS // BLOCKS`` bits, so a table of all values that near to an
-   item's block, for each block, finds every item within the radius. Shingle multisets of similarity
-   0.75 differ in 11 bits on average (deviation 3), so the radius is more than five deviations away.
+   that votes are distinct and similarity is the share of equal ones, repeats or not. Fingerprints are cut into ``BLOCKS``
+   blocks of eight bits; two within ``RADIUS`` bits have a block within ``RADIUS // BLOCKS`` bits, so bitmaps of the items that
+   near to a value, for each block and value, hold every item within the radius. Shingle multisets of similarity
+   0.75 differ in 11 bits on average (deviation 3), so the radius is more than five deviations away. At that radius
+   the blocks leave out few of the other items; their distance and step 1 do. The index has 256 bytes an item.
 3. The counts of a window and of the items found are compared exactly.
 
 Documents are not shuffled. Items go to the tasks in slices of at most ``SLICE_BYTES`` of text, one pass over the
@@ -35,10 +37,13 @@ from . import words as W
 from .frames import per_batch
 
 SHINGLE, PERCENT = 5, 75
-RADIUS, BLOCKS = 28, 4
+RADIUS, BLOCKS = 28, 8
 SLICE_BYTES = 8 << 20
 
-_NEAR = np.array([d for d in range(1 << 16) if d.bit_count() <= RADIUS // BLOCKS], np.uint32)
+#: Which values of a block of eight bits are near to which.
+_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= RADIUS // BLOCKS
+#: Bytes of the lists of items that are looked at together.
+_LISTED = 1 << 18
 _FIRST = 1 << 20
 _NTH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -101,6 +106,11 @@ class _Items:
                 self.by_size[len(own)].append(k)
                 known.append(own)
         self.known = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
+        # The items of each shingle, one after another.
+        held = np.concatenate([self.counts[k][1] for k in self.counts]) if known else self.known
+        of = np.repeat(np.fromiter(self.counts, np.int64, len(self.counts)), np.array([len(c[1]) for c in self.counts.values()], np.int64))
+        order = np.argsort(held, kind="stable")
+        self.holders, self.begins = of[order], np.append(np.searchsorted(held[order], self.known), len(held))
         self.first = np.zeros(_FIRST, bool)
         self.first[(self.known >> np.uint64(44)).astype(np.int64)] = True
         self.index: dict[int, tuple] = {}
@@ -113,23 +123,31 @@ class _Items:
         out[at] = self.known[np.minimum(place, len(self.known) - 1)] == shingles[at] if len(self.known) else False
         return out
 
-    def near(self, size: int, prints: np.ndarray) -> list[tuple[int, int]]:
+    def near(self, size: int, prints: np.ndarray) -> Iterator[tuple[int, int]]:
         """Pairs of a window's number and an item whose fingerprints are within the radius."""
         if size not in self.index:
             own = np.array([fingerprints(self.counts[k][0], np.zeros(1, np.int64), size)[0] for k in self.by_size[size]], np.uint64)
-            tables = np.zeros((BLOCKS, 1 << 16, (len(own) + 7) // 8), np.uint8)
-            for n, print_ in enumerate(own):
-                for b in range(BLOCKS):
-                    value = np.uint32(int(print_) >> (16 * b) & 0xFFFF)
-                    tables[b, value ^ _NEAR, n // 8] |= np.uint8(1 << n % 8)
-            self.index[size] = own, tables
+            # For every value of every block a bitmap of the items that are near to it there: 256 bytes an item.
+            blocks = own.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+            self.index[size] = own, np.stack([np.packbits(_NEAR[:, blocks[:, b]], axis=1, bitorder="little") for b in range(BLOCKS)])
         own, tables = self.index[size]
-        found = tables[0][(prints & np.uint64(0xFFFF)).astype(np.int64)]
-        for b in range(1, BLOCKS):
-            found = found | tables[b][(prints >> np.uint64(16 * b) & np.uint64(0xFFFF)).astype(np.int64)]
-        window, item = np.nonzero(np.unpackbits(found, axis=1, bitorder="little")[:, : len(own)])
-        within = np.bitwise_count(prints[window] ^ own[item]) <= RADIUS
-        return [(int(w), self.by_size[size][i]) for w, i in zip(window[within], item[within], strict=True)]
+        step = max(1, _LISTED // tables.shape[2])
+        for at in range(0, len(prints), step):
+            some = prints[at : at + step]
+            blocks = some.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+            found = tables[0][blocks[:, 0]]
+            for b in range(1, BLOCKS):
+                found |= tables[b][blocks[:, b]]
+            window, byte = np.nonzero(found)
+            which, bit = np.nonzero(np.unpackbits(found[window, byte][:, None], axis=1, bitorder="little"))
+            window, item = window[which], byte[which] * 8 + bit
+            within = np.bitwise_count(some[window] ^ own[item]) <= RADIUS
+            yield from zip((at + window[within]).tolist(), [self.by_size[size][i] for i in item[within].tolist()], strict=True)
+
+    def sharing(self, window: np.ndarray) -> set[int]:
+        """The items that hold one at least of a window's shingles."""
+        place = np.searchsorted(self.known, np.unique(window))
+        return set(np.concatenate([self.holders[self.begins[p] : self.begins[p + 1]] for p in place]).tolist())
 
     def similarity(self, window: np.ndarray, item: int) -> tuple[int, int]:
         """Sums of the smaller and of the larger counts."""
@@ -152,15 +170,24 @@ class _Items:
         if not hit.any():
             return best
         before = np.concatenate([[0], np.cumsum(hit)])
+        total = int(before[-1])
         for size in self.by_size:
             # A shorter document is one window as a whole.
             width = min(size, len(own))
+            if (100 + PERCENT) * total < PERCENT * (width + size):
+                continue
             held = before[width:] - before[: len(before) - width]
             # both >= 0.75 (width + size - both), that is 175 both >= 75 (width + size)
             starts = np.flatnonzero((100 + PERCENT) * held >= PERCENT * (width + size))
             if not len(starts):
                 continue
+            last, sharing = -1, set()
             for w, k in self.near(size, fingerprints(own, starts, width)):
+                if w != last:
+                    at = slice(starts[w], starts[w] + width)
+                    last, sharing = w, self.sharing(own[at][hit[at]])
+                if k not in sharing:
+                    continue
                 both, either = self.similarity(own[starts[w] : starts[w] + width], k)
                 if 100 * both >= PERCENT * either and both / either > best.get(k, (0.0, 0))[0]:
                     best[k] = (both / either, int(starts[w]))

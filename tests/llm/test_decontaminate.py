@@ -157,3 +157,19 @@ def test_tables_find_all_within_the_radius():
         prints.append(own ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64), initial=np.uint64(0)))
     found = {w for w, _ in items.near(26, np.array(prints, np.uint64))}
     assert found == {i for i, p in enumerate(prints) if int(np.bitwise_count(p ^ own)) <= decontaminate.RADIUS}
+
+
+def test_index_of_many_short_items():
+    """The index of 20,000 items of equal length is small, quickly made, and finds what comparing all would."""
+    import time
+
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choices("abcdefgh", k=4))
+    items = decontaminate._Items([(i, " ".join(word() for _ in range(10))) for i in range(20_000)])
+    began = time.process_time()
+    prints = np.array([decontaminate.fingerprints(items.counts[k][0], np.zeros(1, np.int64), 6)[0] for k in range(0, 20_000, 50)])
+    found = set(items.near(6, prints))
+    own, tables = items.index[6]
+    assert tables.nbytes <= 256 * len(own) + 4096 and time.process_time() - began < 60
+    all_pairs = np.bitwise_count(prints[:, None] ^ own) <= decontaminate.RADIUS
+    assert found == {(int(w), int(i)) for w, i in zip(*np.nonzero(all_pairs), strict=True)}
