@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Mapping
 
@@ -89,11 +90,30 @@ def replaced_prefix(path: Column, prefix: Column, replacement: Column, separator
 
 
 def literal_lookup(path: Column, mapping: Mapping[str, str]) -> Column:
-    """struct(prefix, value) of the longest entry covering the path, or null. For small mappings."""
-    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-    hits = F.filter(ancestor_paths(path), lambda p: F.map_contains_key(table, p))
-    best = F.try_element_at(hits, F.lit(-1))
-    return F.when(best.isNotNull(), F.struct(best.alias("prefix"), F.try_element_at(table, best).alias("value")))
+    """struct(prefix, value) of the longest entry covering the path, or null.
+
+    The entries become two sorted arrays, one literal each, in which every ancestor is looked up by binary search.
+    """
+    names = sorted(mapping)  # code points sort like the bytes that Spark compares
+    prefixes = F.from_json(F.lit(json.dumps(names)), "array<string>")
+    values = F.from_json(F.lit(json.dumps([mapping[n] for n in names])), "array<string>")
+    turns = F.sequence(F.lit(1), F.lit(len(names).bit_length()))
+
+    def place(ancestor: Column) -> Column:
+        def halve(reach: Column, _: Column) -> Column:
+            middle = F.floor((reach["low"] + reach["high"]) / 2).cast("int")
+            open_ = reach["low"] < reach["high"]
+            before = F.get(prefixes, middle) < ancestor
+            low = F.when(open_ & before, middle + 1).otherwise(reach["low"])
+            high = F.when(open_ & ~before, middle).otherwise(reach["high"])
+            return F.struct(low.alias("low"), high.alias("high"))
+
+        whole = F.struct(F.lit(0).alias("low"), F.lit(len(names)).alias("high"))
+        return F.aggregate(turns, whole, halve, lambda reach: reach["low"])
+
+    found = F.transform(ancestor_paths(path), lambda p: F.struct(p.alias("prefix"), place(p).alias("at")))
+    best = F.try_element_at(F.filter(found, lambda x: F.get(prefixes, x["at"]) == x["prefix"]), F.lit(-1))
+    return F.when(best.isNotNull(), F.struct(best["prefix"].alias("prefix"), F.get(values, best["at"]).alias("value")))
 
 
 def path_topics(path: Column, strip_root: bool = False) -> Column:

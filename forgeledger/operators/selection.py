@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 
-# Above this size a mapping given as a dict is joined instead of inlined in the plan.
-INLINE_ENTRIES = 200
-
+#: Lengths of the pieces by which globs are indexed.
+_PIECES = (1, 2, 4, 8, 16)
 
 def subtree(projects: DataFrame, group: str, direct_only: bool = False, path_col: str = "path") -> DataFrame:
     """Projects below a group: at any depth, or its direct children only."""
@@ -55,16 +54,40 @@ def exclude_by_group(df: DataFrame, entries: DataFrame, column: str = "path", gr
     """Drop rows whose value matches an exclude entry of their own group.
 
     ``entries`` has (``group``, ``entry``), exact names or ``*`` globs, and may be of any size: names are joined by
-    equality on both columns, globs by their group. Null groups, values and entries match nothing.
+    equality on both columns, globs by a piece that a matching value must hold. Null groups, values and entries match
+    nothing.
+    """
+    own = entries.select(F.col(group).alias("__group"), F.col("entry").alias("__value"))
+    is_glob = F.contains("__value", F.lit("*"))
+    values = df.select(F.col(group).alias("__group"), F.col(column).alias("__value")).dropna().distinct()
+    found = own.where(~is_glob).unionAll(_glob_matches(values, own.where(is_glob))).distinct()
+    return df.join(found, (F.col(group) == F.col("__group")) & (F.col(column) == F.col("__value")), "left_anti")
+
+
+def _glob_matches(values: DataFrame, globs: DataFrame) -> DataFrame:
+    """The ``__group, __value`` rows of ``values`` that a glob of their group matches.
+
+    A glob is indexed by the beginning of its longest literal part, cut to a length of ``_PIECES``, so that a value has few
+    pieces to look up. Values and globs meet where group and piece are equal, never all of a group, and ``like`` confirms.
     """
-    own = entries.select(F.col(group).alias("__group"), F.col("entry").alias("__entry"))
-    is_glob = F.contains("__entry", F.lit("*"))
+    longest = F.array_max(F.transform(F.split("__value", r"\*"), lambda part: F.struct(F.length(part).alias("n"), part.alias("text"))))
+    size = F.lit(0)
+    for n in _PIECES:
+        size = F.when(longest["n"] >= n, n).otherwise(size)
     # In a pattern only the glob's stars stand for other text.
-    pattern = F.replace(F.regexp_replace("__entry", r"([\\%_])", r"\\$1"), F.lit("*"), F.lit("%"))
-    globs = own.where(is_glob).select("__group", pattern.alias("__pattern"))
-    of_group = F.col(group) == F.col("__group")
-    kept = df.join(own.where(~is_glob), of_group & (F.col(column) == F.col("__entry")), "left_anti")
-    return kept.join(globs, of_group & F.like(F.col(column), F.col("__pattern")), "left_anti")
+    pattern = F.replace(F.regexp_replace("__value", r"([\\%_])", r"\\$1"), F.lit("*"), F.lit("%"))
+    indexed = globs.where("__group is not null").select("__group", pattern.alias("__pattern"), size.alias("__size"), F.substring(longest["text"], F.lit(1), size).alias("__piece"))
+    # A group uses at most as many sizes as there are.
+    sizes = indexed.groupBy("__group").agg(F.collect_set("__size").alias("__sizes"))
+
+    def pieces(n: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("__value") - n + 1, F.lit(1)))
+        cut = F.transform(F.when(n == 0, F.array(F.lit(1))).otherwise(starts), lambda at: F.substring(F.col("__value"), at, n))
+        return F.array_distinct(cut)
+
+    held = values.join(sizes, "__group").select("__group", "__value", F.explode(F.array_distinct(F.flatten(F.transform("__sizes", pieces)))).alias("__piece"))
+    met = held.join(indexed, ["__group", "__piece"]).where(F.like(F.col("__value"), F.col("__pattern")))
+    return met.select("__group", "__value")
 
 
 def config_overrides(
@@ -96,14 +119,12 @@ def longest_prefix(paths: DataFrame, mapping: DataFrame, path_col: str = "path")
 
 
 def with_longest_prefix(df: DataFrame, mapping: DataFrame | Mapping[str, str], path_col: str = "path") -> DataFrame:
-    """``df`` plus ``hit`` = struct(prefix, value), null where nothing covers the path."""
+    """``df`` plus ``hit`` = struct(prefix, value), null where nothing covers the path.
+
+    A ``dict`` is part of the plan, whatever its size, and needs no shuffle; a table is joined.
+    """
     if isinstance(mapping, Mapping):
-        if not mapping:
-            empty = F.lit(None).cast("struct<prefix:string,value:string>")
-            return df.withColumn("hit", empty)
-        if len(mapping) <= INLINE_ENTRIES:
-            return df.withColumn("hit", P.literal_lookup(F.col(path_col), mapping))
-        mapping = df.sparkSession.createDataFrame(list(mapping.items()), "prefix string, value string")
+        return df.withColumn("hit", P.literal_lookup(F.col(path_col), mapping))
     return df.join(longest_prefix(df, mapping, path_col), path_col, "left").select(*df.columns, "hit")
 
 

@@ -50,7 +50,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: the session's checkpoint folder.
 
     A local session without one gets a new temporary folder. On a cluster a folder on one
-    machine would be lost with that machine, so there the setting is required.
+    machine would be lost with that machine, so there the setting is required, and taken at its
+    word: a shared mount and a local disk look alike from here.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
@@ -64,16 +65,30 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_HOMES: set[str] = set()
+
+
+def _home(spark: SparkSession) -> str:
+    """The folder of all that an application writes for itself. It goes when the application's driver ends."""
+    home = f"{shared_folder(spark).rstrip('/')}/forgeledger/{spark.sparkContext.applicationId}"
+    if home not in _HOMES:
+        location = spark._jvm.org.apache.hadoop.fs.Path(home)
+        files = location.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(location)
+        files.deleteOnExit(location)
+        _HOMES.add(home)
+    return home
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path for an intermediate table. All of one application's are in one folder."""
-    application = spark.sparkContext.applicationId
-    return f"{shared_folder(spark).rstrip('/')}/forgeledger/{application}/{label}-{uuid.uuid4().hex}"
+    return f"{_home(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def application_path(spark: SparkSession, label: str, *of: str) -> str:
     """The path of something kept as long as the application, always the same for the same ``of``."""
     name = hashlib.sha256("\0".join(of).encode()).hexdigest()[:24]
-    return f"{shared_folder(spark).rstrip('/')}/forgeledger/{spark.sparkContext.applicationId}/{label}-{name}"
+    return f"{_home(spark)}/{label}-{name}"
 
 
 def durable(df: DataFrame, label: str = "step") -> DataFrame:

@@ -7,10 +7,13 @@ the same sink with a processing-time trigger.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from datetime import timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.changes import latest_state
 from ..operators.oplog import success_rate, threshold_alerts, window_start
@@ -60,6 +63,62 @@ def close_open_operations(paired: DataFrame, starts: DataFrame) -> DataFrame:
     return every.withColumn("outcome", F.coalesce("end_state", F.lit("unfinished"))).drop("end_state")
 
 
+_CLOSED = "operation_id bigint, url string, started_at timestamp, ended_at timestamp, outcome string"
+_HELD = "url string, started_at timestamp, ended_at timestamp, end_state string, closed boolean"
+
+
+def _closing(micros: int):
+    """Follow one operation from its first notice until its time is over; give its row out once."""
+
+    def row(key: tuple, held: tuple, ended_at, outcome: str) -> pd.DataFrame:
+        return pd.DataFrame({"operation_id": [key[0]], "url": [held[0]], "started_at": [held[1]], "ended_at": [ended_at], "outcome": [outcome]})
+
+    def run(key: tuple, notices: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else (None, None, None, None, False)
+        if state.hasTimedOut:
+            state.remove()
+            if held[1] is not None and not held[4]:
+                yield row(key, held, pd.NaT, "unfinished")
+            return
+        url, started_at, ended_at, end_state, closed = held
+        for batch in notices:
+            for note in batch.itertuples(index=False):
+                if note.state == "started":
+                    if started_at is None or note.ts < started_at:
+                        url, started_at = note.url, note.ts.to_pydatetime()
+                elif note.state in ("completed", "failed") and (ended_at is None or note.ts < ended_at):
+                    ended_at, end_state = note.ts.to_pydatetime(), note.state
+        if started_at is None and ended_at is None:
+            return
+        span = timedelta(microseconds=micros)
+        in_time = started_at is not None and ended_at is not None and started_at <= ended_at <= started_at + span
+        if in_time and not closed:
+            yield row(key, (url, started_at), ended_at, end_state)
+            closed = True
+        # What is held until then also keeps a notice that comes twice from closing twice.
+        state.update((url, started_at, ended_at, end_state, closed))
+        over = ((started_at or ended_at) + span).replace(tzinfo=timezone.utc).timestamp() * 1000
+        state.setTimeoutTimestamp(max(int(over) + 1, state.getCurrentWatermarkMs() + 1))
+
+    return run
+
+
+def stream_closed_operations(notices: DataFrame, timeout_seconds: int = 3600, delay: str = "10 minutes") -> DataFrame:
+    """Every started operation once: when its end is known, or as unfinished when its time has passed without one.
+
+    ``stream_operation_pairing`` does the same by a join and is faster; an end that comes twice gives two rows there, and a
+    start that comes twice two as well, while here state that is kept for each operation lets the first of each count.
+
+    ``notices(operation_id, url, ts, state)`` holds started, completed and failed notices in any order, and others, which
+    only move the clock. An operation's state is kept until ``timeout_seconds`` after its start, in event time behind the
+    watermark, and then leaves by itself; ends later than that do not count.
+    """
+    timed = notices.select("operation_id", "url", "ts", "state").withWatermark("ts", delay)
+    return timed.groupBy("operation_id").applyInPandasWithState(
+        _closing(timeout_seconds * 1_000_000), _CLOSED, _HELD, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def update_folder(path: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink: each batch's rows in a folder of their own, replaced on replay."""
 

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,11 +68,24 @@ def test_custom_table_equals_custom_dict(spark):
     assert names(spark, CUSTOM_PATHS, strategy="custom", custom=table, fallback="prefix") == CUSTOM_NAMES
 
 
-def test_custom_dict_too_large_to_inline(spark):
-    big = {f"other/{i}": str(i) for i in range(S.INLINE_ENTRIES + 1)} | CUSTOM
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 199, 200, 201, 5_000])
+def test_custom_dict_of_any_size(spark, n):
+    big = {f"other/{i}": str(i) for i in range(n)} | CUSTOM
     assert names(spark, CUSTOM_PATHS, strategy="custom", custom=big, fallback="prefix") == CUSTOM_NAMES
 
 
+def test_lookup_in_a_literal_finds_what_a_join_finds(spark):
+    rng = random.Random(9)
+    part = lambda: rng.choice(["a", "b", "é", "ab", "a b", "a.b", "z", "\u4e2d"])
+    path = lambda: "/".join(part() for _ in range(rng.randint(1, 6)))
+    mapping = {path(): str(i) for i in range(150)}
+    df = spark.createDataFrame([(p,) for p in {path() for _ in range(400)} | set(mapping)], "path string")
+    table = spark.createDataFrame(list(mapping.items()), "prefix string, value string")
+    literal, joined = (sorted((r.path, r.hit) for r in S.with_longest_prefix(df, m).collect()) for m in (mapping, table))
+    assert [(p, h and tuple(h)) for p, h in literal] == [(p, h and tuple(h)) for p, h in joined]
+    assert sum(h is None for _, h in literal) < len(literal) and S.with_longest_prefix(df, {}).where("hit is not null").count() == 0
+
+
 def test_custom_without_entries_and_recursive_fallback(spark):
     assert names(spark, [DEEP], strategy="custom", custom={}, fallback="full_path", separator=".") == ["company.backend.services.auth"]
     with pytest.raises(ValueError):
@@ -238,3 +254,21 @@ def test_routing_and_overrides(spark, rows):
 def test_blank_paths_in_any_white_space(spark):
     df = spark.createDataFrame([(None,), ("",), (" \t",), ("\u00a0\u2003",), ("a",), ("\u200b",)], "path string")
     assert [r[0] for r in df.select(P.is_blank_path(df.path)).collect()] == [True, True, True, True, False, False]
+
+
+def test_many_globs_in_one_group_meet_by_pieces(spark, rows):
+    rng = random.Random(2)
+    letters = "abcd/-._%*\\é"
+    text = lambda n, of: "".join(rng.choice(of) for _ in range(rng.randint(0, n)))
+    globs = {text(14, letters) + "*" + text(9, letters) for _ in range(1500)} - {"*"}
+    globs = {g for g in globs if len(g.replace("*", "")) > 2}
+    values = {text(30, letters.replace("*", "")) for _ in range(800)} | {g.replace("*", "xy") for g in list(globs)[:200]}
+    entries = [("hot", g) for g in globs] + [("all", "**"), ("none", "q*"), (None, "*"), ("hot", None), ("exact", "a")]
+    df = spark.createDataFrame([("hot", v) for v in values] + [(g, v) for g in ("all", "none", "exact", None, "other") for v in ("", "a", None)], "group_name string, path string")
+    match = lambda g, v: re.fullmatch(".*".join(map(re.escape, g.split("*"))), v, re.S)
+    hit = {(a, v) for a, v in {tuple(r) for r in df.collect()} if a is not None and v is not None for b, g in entries if a == b and g is not None and (match(g, v) if "*" in g else g == v)}
+    kept = S.exclude_by_group(df, spark.createDataFrame(entries, "group_name string, entry string"))
+    assert rows(kept) == sorted((tuple(r) for r in df.collect() if tuple(r) not in hit), key=repr)
+    assert 100 < sum(a == "hot" for a, _ in hit) < len(values)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "__piece" in plan and "CartesianProduct" not in plan

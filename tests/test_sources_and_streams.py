@@ -1,5 +1,9 @@
 import json
+import random
+import subprocess
+import sys
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +84,21 @@ def test_shared_folder_follows_the_session(spark):
     assert S.durable(spark.range(5)).count() == 5
 
 
+def test_intermediates_go_with_the_application(tmp_path):
+    """A driver of its own writes a step; when it has ended nothing is left of it."""
+    program = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', sys.argv[2]).getOrCreate()\n"
+        "from forgeledger.session import configure, durable, scratch_path\n"
+        "import os; assert durable(configure(spark).range(9)).count() == 9\n"
+        "assert os.listdir(sys.argv[2] + '/forgeledger')\n"
+    )
+    root = str(Path(__file__).resolve().parents[1])
+    subprocess.run([sys.executable, "-c", program, root, str(tmp_path / "shared")], check=True, capture_output=True, timeout=180)
+    assert list((tmp_path / "shared" / "forgeledger").iterdir()) == []
+
+
 # --- streams ---------------------------------------------------------------------------
 
 START = datetime(2025, 1, 1)
@@ -151,6 +170,51 @@ def test_stream_pairing(spark, batches, tmp_path):
     assert {r.operation_id: r.outcome for r in closed.collect()} == {1: "completed", 2: "unfinished", 3: "failed", 4: "unfinished"}
 
 
+@pytest.fixture
+def many_files(spark, tmp_path):
+    """Notices of 60 operations over 12 files: ends before starts, late ends, ends twice, none at all."""
+    folder, rng, wanted = tmp_path / "notices", random.Random(6), {}
+    files = [[] for _ in range(12)]
+    for o in range(60):
+        start = 10 * o
+        file = o // 6
+        files[file].append((start, "INFO", "x", "r", o, o, "started"))
+        kind = rng.choice(["end", "end", "before", "twice", "late", "none"])
+        end = start + rng.randint(1, 25)
+        if kind == "none":
+            wanted[o] = "unfinished"
+            continue
+        if kind == "late":
+            # The end is more than the timeout after the start.
+            files[min(file + 1, 10)].append((start + 45, "INFO", "x", "r", o, o, "completed"))
+            wanted[o] = "unfinished"
+            continue
+        state = rng.choice(["completed", "failed"])
+        wanted[o] = state
+        place = max(file - 1, 0) if kind == "before" else min(file + rng.randint(0, 1), 10)
+        files[place].append((end, "INFO", "x", "r", o, o, state))
+        if kind == "twice":
+            files[min(place + 1, 10)].append((end + 1, "INFO", "x", "r", o, o, "completed"))
+    # A clock that moves past the last operation's time.
+    files[11].append((10_000, "INFO", "x", "r", 0, -1, "tick"))
+    return folder, files, wanted
+
+
+def test_operations_close_once_over_restarts(spark, tmp_path, many_files):
+    folder, files, wanted = many_files
+    sink = J.update_folder(str(tmp_path / "out"))
+    for at in (0, 4, 9):
+        # Files come while the stream is down; each start goes on where the last one ended.
+        for n, rows in enumerate(files[at : {0: 4, 4: 9, 9: 12}[at]], at):
+            feed(spark, folder, str(n), rows)
+        live = J.stream_closed_operations(stream(spark, folder), 1800, "300 minutes")
+        J.run_available(live, sink, str(tmp_path / "cp"), "append")
+    closed = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.operation_id for r in closed) == sorted(wanted)
+    assert {r.operation_id: r.outcome for r in closed} == wanted
+    assert all((r.ended_at is None) == (r.outcome == "unfinished") and r.url == f"u{r.operation_id}" for r in closed)
+
+
 def test_stream_without_input(spark, tmp_path):
     (tmp_path / "in").mkdir()
     J.run_available(J.stream_errors(stream(spark, tmp_path / "in")), J.update_folder(str(tmp_path / "out")), str(tmp_path / "cp"))
