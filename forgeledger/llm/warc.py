@@ -32,6 +32,8 @@ from ..session import durable, scratch_path
 
 ARCHIVE_BYTES = 256 << 20
 SPLIT_BYTES = 16 << 20
+#: Tasks that read archives; beyond that a task reads several ranges.
+READERS = 50_000
 MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 18
 #: Record ids of pages.
@@ -239,8 +241,8 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SHAPE, strict=True)], schema=_SHAPE)
 
 
-def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """All records of the manifest's archives (columns ``path, bytes``), one task for each range of bytes.
+def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, readers: int = READERS) -> DataFrame:
+    """All records of the manifest's archives (columns ``path, bytes``), a task for each range of bytes, at most ``readers``.
 
     An archive of another size, or with a record that cannot be read, raises.
     """
@@ -252,4 +254,4 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     )
     shape = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
     # A fixed number of partitions is not merged at run time, small as its rows are.
-    return ranges.repartition(max(1, ranges.count())).mapInArrow(_read, shape)
+    return ranges.repartition(max(1, min(readers, ranges.count()))).mapInArrow(_read, shape)

@@ -48,6 +48,8 @@ def test_round_trip_with_ranges_of_any_size(llm, rows, split):
     found = warc.read(manifest, split)
     assert rows(found, *COLUMNS) == brute([tuple(r) for r in pages.select("page_id", "url", "html").collect()])
     assert manifest.agg(F.sum("records")).first()[0] == pages.count()
+    few = warc.read(manifest, split, readers=2)
+    assert few.rdd.getNumPartitions() <= 2 and few.count() == pages.count()
 
 
 def test_supplied_pages_and_payloads(llm, rows):
