@@ -57,6 +57,10 @@ class History:
         self.lengths = places.groupBy("repo", "line").agg((F.max("depth") + 1).alias("length"))
         self.last_blocks = links.groupBy("repo", "from_line").agg(F.max("block").alias("last_block"))
 
+    def with_lengths(self, rows: DataFrame) -> DataFrame:
+        """Rows of (repo, line) with the ``length`` of the line, which all its depths are smaller than."""
+        return rows.join(self.lengths, ["repo", "line"])
+
     def reach(self, heads: DataFrame) -> DataFrame:
         return _search(self, heads)
 
@@ -284,9 +288,8 @@ def _tested(history: History, pairs: DataFrame) -> DataFrame:
 
 def ancestor_counts(history: History, heads: DataFrame) -> DataFrame:
     """Commits reachable from each head, the head included. Arithmetic on lines, no enumeration."""
-    reached = reach(history, heads)
     return (
-        reached.join(history.lengths, ["repo", "line"])
+        history.with_lengths(reach(history, heads))
         .groupBy("repo", "head")
         .agg(F.sum(F.col("length") - F.col("entry")).alias("n_ancestors"))
     )
@@ -305,16 +308,12 @@ def force_push(history: History, moves: DataFrame) -> DataFrame:
 def _new_stretches(history: History, moves: DataFrame) -> DataFrame:
     """Per (repo, old, new) and line: the stretch [first, past) that only ``new`` reaches."""
     pairs = moves.select("repo", "old", "new").distinct()
-    ends = pairs.select("repo", F.col("new").alias("head")).union(pairs.select("repo", F.col("old").alias("head")))
-    reached = reach(history, ends.where("head is not null"))
-    new = reached.select("repo", F.col("head").alias("new"), "line", F.col("entry").alias("first"))
-    old = reached.select("repo", F.col("head").alias("old"), "line", F.col("entry").alias("stop"))
-    joined = (
-        pairs.join(new, ["repo", "new"])
-        .join(history.lengths, ["repo", "line"])
-        .join(old, ["repo", "old", "line"], "left")
-    )
-    return joined.select(
+    end = lambda head, new: F.struct(F.col(head).alias("head"), F.lit(new).alias("is_new"))
+    ends = pairs.select("*", F.explode(F.array(end("new", True), end("old", False))).alias("end")).select("repo", "old", "new", "end.*")
+    reached = reach(history, ends.where("head is not null").select("repo", "head"))
+    entry = lambda new: F.min(F.when(F.col("is_new") == new, F.col("entry")))
+    spans = ends.join(reached, ["repo", "head"]).groupBy("repo", "old", "new", "line").agg(entry(True).alias("first"), entry(False).alias("stop"))
+    return history.with_lengths(spans.where("first is not null")).select(
         "repo", "old", "new", "line", "first", F.least("length", F.coalesce("stop", "length")).alias("past")
     ).where("past > first")
 

@@ -74,10 +74,9 @@ class CommitIndex:
     def places(self) -> DataFrame:
         return self._stored("places").select("repo", "sha", "line", (-F.col("place")).alias("depth"))
 
-    @property
-    def lengths(self) -> DataFrame:
-        """(repo, line, length): depths of a line are smaller than this."""
-        return self._stored("tips").select("repo", "line", F.lit(1).cast("bigint").alias("length")).distinct()
+    def with_lengths(self, rows: DataFrame) -> DataFrame:
+        """Rows with the ``length`` that depths of a line are smaller than: no place is below zero."""
+        return rows.withColumn("length", F.lit(1).cast("bigint"))
 
     # --- questions -------------------------------------------------------------------------
 

@@ -51,16 +51,14 @@ def test_appending_equals_brute_force_and_building_anew(spark, tmp_path, rows, m
     edges = [e for i in range(4) for e in graph(rng, rng.randint(20, 45), f"r{i}")]
     known = ancestors(edges)
     appended = index_of(spark, tmp_path / "appended", cut(edges, [9, 22]))
+    # Folders are merged like the digits of a binary counter, and those merged go.
+    assert len(appended.ledger.current()["runs"]) == 2 and appended.expire(1) == 1
     check(spark, rows, appended, known)
     check(spark, rows, index_of(spark, tmp_path / "whole", [edges]), known)
-
-
-def test_folders_are_merged_like_the_digits_of_a_counter(spark, tmp_path, rows):
-    edges = graph(random.Random(12), 20, "r0")
-    index = index_of(spark, tmp_path / "i", cut(edges, [1, 2]))
-    assert len(index.ledger.current()["runs"]) == 2
-    assert index.expire(1) == 1
-    check(spark, rows, index, ancestors(edges))
+    moves = spark.createDataFrame([(f"r{i}", 3, 19) for i in range(4)], PAIRS)
+    assert jobs_of(spark, "forced", lambda: H.force_push(appended, moves).collect()) < 15
+    assert jobs_of(spark, "counts", lambda: H.ancestor_counts(appended, moves.select("repo", F.col("new").alias("head"))).collect()) < 15
+    assert jobs_of(spark, "new", lambda: H.new_commit_counts(appended, moves).collect()) < 15
 
 
 def test_branches_merging_each_other_over_batches(spark, tmp_path, rows):
@@ -89,29 +87,21 @@ def test_merged_branches_cost_one_label_each(spark, tmp_path, rows):
     assert rows(H.ancestor_counts(index, heads)) == [("r", 20_002, 251 + merged + 3), ("r", 299, 300 + len(side))]
 
 
-def test_replay_known_commits_and_unknown_parents(spark, tmp_path, rows):
-    edges = [("r0", 0, None), ("r0", 1, 0), ("r0", 2, 1), ("r0", 2, 77)]
-    index = index_of(spark, tmp_path / "i", [edges])
-    assert not index.extend(spark.createDataFrame([("r0", 9, 2)], COMMITS), 0)
-    # Commits that came before come again with new ones.
-    assert index.extend(spark.createDataFrame([*edges, ("r0", 3, 2), ("r9", 1, None)], COMMITS), 1)
-    known = ancestors([*edges[:3], ("r0", 3, 2), ("r9", 1, None)])
-    check(spark, rows, index, known)
-    unknown = spark.createDataFrame([("r0", 5, 3), ("r0", 3, 77), ("zz", 1, 1)], PAIRS)
-    assert [r.is_ancestor for r in H.is_ancestor(index, unknown).collect()] == [None] * 3
-
-
-def test_a_lost_extension_changes_nothing(spark, tmp_path, rows, monkeypatch):
-    edges = graph(random.Random(2), 12, "r0")
-    first, second = cut(edges, [6])
+def test_lost_extensions_replay_and_known_commits(spark, tmp_path, rows, monkeypatch):
+    first = [("r0", 0, None), ("r0", 1, 0), ("r0", 2, 1), ("r0", 2, 77)]
+    second = [*first, ("r0", 3, 2), ("r0", 4, 1), ("r0", 5, 4), ("r0", 5, 3), ("r9", 1, None)]
     index = index_of(spark, tmp_path / "i", [first])
     with monkeypatch.context() as patch:
         patch.setattr(Ledger, "publish", lambda *_: (_ for _ in ()).throw(OSError()))
         with pytest.raises(OSError):
             index.extend(spark.createDataFrame(second, COMMITS), 1)
-    check(spark, rows, index, ancestors(first))
+    assert index.places.count() == 3
+    # A batch that was taken in changes nothing; one that was lost, with commits that came before, comes again.
+    assert not index.extend(spark.createDataFrame([("r0", 9, 2)], COMMITS), 0)
     assert index.extend(spark.createDataFrame(second, COMMITS), 1)
-    check(spark, rows, index, ancestors(edges))
+    check(spark, rows, index, ancestors([e for e in dict.fromkeys(second) if e[2] != 77]))
+    unknown = spark.createDataFrame([("r0", 9, 3), ("r0", 3, 77), ("zz", 1, 1)], PAIRS)
+    assert [r.is_ancestor for r in H.is_ancestor(index, unknown).collect()] == [None] * 3
 
 
 def test_an_index_without_commits(spark, tmp_path):
@@ -124,12 +114,3 @@ def jobs_of(spark, name, run):
     run()
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
-
-
-def test_questions_take_few_jobs(spark, tmp_path):
-    edges = [e for i in range(5) for e in graph(random.Random(i), 60, f"r{i}")]
-    index = index_of(spark, tmp_path / "i", cut(edges, [30]))
-    moves = spark.createDataFrame([(f"r{i}", 3, 59) for i in range(5)], PAIRS)
-    assert jobs_of(spark, "forced", lambda: H.force_push(index, moves).collect()) < 15
-    assert jobs_of(spark, "counts", lambda: H.ancestor_counts(index, moves.select("repo", F.col("new").alias("head"))).collect()) < 15
-    assert jobs_of(spark, "new", lambda: H.new_commit_counts(index, moves).collect()) < 15
