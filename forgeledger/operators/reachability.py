@@ -84,15 +84,17 @@ class CommitIndex:
         """(repo, head, line, upto): the head's own line and those of its chain."""
         places = self._stored("places").withColumnsRenamed({"sha": "head", "place": "upto"})
         own = places.join(heads.select("repo", "head").distinct(), ["repo", "head"], "left_semi").select("repo", "head", "line", "upto")
-        up = own.select("repo", "head", "line").join(self._stored("chains"), ["repo", "line"])
-        return own.unionAll(up.select("repo", "head", F.col("up_line").alias("line"), F.col("up_place").alias("upto")))
+        # The head's own line comes along with each line of its chain.
+        way = F.explode(F.array(F.struct("line", "upto"), F.struct(F.col("up_line").alias("line"), F.col("up_place").alias("upto"))))
+        ways = own.join(self._stored("chains"), ["repo", "line"], "left").select("repo", "head", way.alias("way"))
+        return ways.select("repo", "head", "way.*").where("line is not null")
 
     def reach(self, heads: DataFrame) -> DataFrame:
         """(repo, head, line, entry): from ``head`` every commit of ``line`` at depth >= entry."""
-        ways = self._ways(heads)
-        far = ways.join(self._stored("labels"), ["repo", "line"]).where("place <= upto")
-        every = ways.unionAll(far.select("repo", "head", F.col("to_line").alias("line"), F.col("to_place").alias("upto")))
-        return every.groupBy("repo", "head", "line").agg((-F.max("upto")).alias("entry"))
+        far = F.when(F.col("place") <= F.col("upto"), F.struct(F.col("to_line").alias("line"), F.col("to_place").alias("upto")))
+        way = F.explode(F.array(F.struct("line", "upto"), far))
+        every = self._ways(heads).join(self._stored("labels"), ["repo", "line"], "left").select("repo", "head", way.alias("way"))
+        return every.select("repo", "head", "way.*").where("line is not null").groupBy("repo", "head", "line").agg((-F.max("upto")).alias("entry"))
 
     def is_ancestor(self, pairs: DataFrame) -> DataFrame:
         """Per (repo, old, new): whether old is reachable from new; null where either is unknown.
