@@ -12,7 +12,7 @@ version: a tree that shares every node but the leaf's ancestors in the block, an
 nodes over the siblings the block was told of. No version needs a row in the blocks above it, so the top is no
 meeting point of all of them.
 
-Positions come from one range exchange over (group, order), so a group may hold any share of the rows. A missing
+Positions come from ``order_in_group``, which cuts large groups into slices, so a group may hold any share of the rows. A missing
 order value comes first, rows of one order value are ordered by their digests; equal rows stand next to each other. An
 empty table has no root and gives no rows.
 """
@@ -238,8 +238,8 @@ def manifest(leaves: DataFrame, levels: int = LEVELS) -> DataFrame:
         ),
         "leaves",
     )
-    placed = order_in_group(rows, ["group"], [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("changed")])
-    groups = order_in_group(rows.select("group").distinct(), [], [F.col("group").asc_nulls_first()], "number")
+    placed = order_in_group(rows, ["group"], ["doc_id", "digest", "changed"])
+    groups = order_in_group(rows.select("group").distinct(), [], ["group"], "number")
     placed = placed.withColumn("position", F.col("position") - 1)
     nodes = durable(join_null_safe(placed, groups, ["group"]).drop("group"), "placed-leaves")
     feet, subroots = _climb(nodes, levels)

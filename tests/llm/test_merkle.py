@@ -86,6 +86,12 @@ def test_few_leaves_and_many_groups(llm, rows, groups):
     assert rows(merkle.manifest(llm.createDataFrame(data, SHAPE), 1)) == brute(data)
 
 
+def test_groups_that_reach_over_many_slices(llm, many_slices, rows):
+    data = leaves_of({"en": 300, None: 90, "a": 1, **{f"{i:03}": 2 for i in range(60)}})
+    data += [("en", None, f"{i % 7}", None) for i in range(40)] + [("en", 5, "aa", "bb" if i % 2 else None) for i in range(40)]
+    assert rows(merkle.manifest(llm.createDataFrame(data, SHAPE).repartition(3))) == brute(data)
+
+
 def test_empty(llm):
     assert merkle.manifest(llm.createDataFrame([], SHAPE)).count() == 0
 
