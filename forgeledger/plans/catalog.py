@@ -1303,7 +1303,7 @@ def _(s):
 def _stored(s: Source) -> str:
     """A new folder with one object per supplier, named ``repo=<key>/part-….txt``."""
     path = scratch_path(s.spark, "store")
-    s["v_stored"].repartition("repo").write.partitionBy("repo").text(path)
+    tables.write_objects(s["v_stored"], path, "repo", "value")
     return path
 
 

@@ -56,6 +56,39 @@ def test_line_and_json_sinks(spark, tmp_path):
     tables.parquet(spark, _written(spark, tmp_path), "id bigint").count()
 
 
+def test_objects_by_key_are_as_partitioned_files(spark, tmp_path):
+    rows = [("a", "1"), ("b/c d=%", "2"), ("a", None), (None, "3"), ("", "4"), ("é", "ü"), ("a", "5\n6")]
+    lines = spark.createDataFrame(rows, "repo string, line string")
+    tables.write_objects(lines, str(tmp_path / "objects"), "repo", "line", tasks=3)
+    lines.write.partitionBy("repo").text(str(tmp_path / "files"))
+
+    def kept(root):
+        return {d.name: sorted("".join(p.read_text() for p in d.glob("part-*.txt")).splitlines()) for d in root.iterdir() if d.is_dir()}
+
+    assert kept(tmp_path / "objects") == kept(tmp_path / "files")
+    assert all([p.name for p in d.iterdir()] == ["part-00000.txt"] for d in (tmp_path / "objects").iterdir())
+    tables.write_objects(lines.limit(0), str(tmp_path / "none"), "repo", "line")
+    assert tables.json_documents(spark, str(tmp_path / "none"), "*.txt").count() == 0
+
+
+@pytest.fixture
+def many_objects(spark, tmp_path):
+    """300 small objects in folders of their own and two large ones, when Spark by itself reads each in a task of its own."""
+    for n in range(300):
+        put(tmp_path, f"repo={n}/part-0.txt", f"{n}\n")
+    for n in (300, 301):
+        put(tmp_path, f"repo={n}/part-0.txt", f"{n}\n" + "x" * tables.SMALL_BYTES)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    yield str(tmp_path)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_small_documents_share_tasks(spark, many_objects):
+    documents = tables.json_documents(spark, many_objects, "*.txt")
+    assert sorted((r.key, r.value[:4].strip()) for r in documents.collect()) == sorted((f"repo={n}/part-0.txt", str(n)) for n in range(302))
+    assert documents.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 2
+
+
 def _written(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "t"))
     return str(tmp_path / "t")
