@@ -59,7 +59,10 @@ def text_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 def object_listing(spark: SparkSession, path: str, pattern: str = "*" + ARCHIVE_SUFFIX) -> DataFrame:
     """Objects below a location without reading them: key, size and time."""
-    return _objects(spark, path, pattern).select(
+    return _objects(
+        spark,
+        path,
+        pattern,
         _relative(F.col("path"), path).alias("key"),
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("mtime"),
@@ -91,7 +94,7 @@ def _sha256(chunk: int):
 
 def object_digests(spark: SparkSession, path: str, pattern: str = "*", chunk: int = 1 << 22, tasks: int | None = None) -> DataFrame:
     """SHA-256 of objects of any size: tasks open each object themselves and read it ``chunk`` bytes at a time."""
-    listed = _objects(spark, path, pattern).select("path", F.col("length").alias("size_bytes"))
+    listed = _objects(spark, path, pattern, "path", F.col("length").alias("size_bytes"))
     dealt = listed.repartition(tasks or spark.sparkContext.defaultParallelism, "path")
     digests = dealt.mapInArrow(_sha256(chunk), "path string, size_bytes bigint, sha256 string")
     return digests.select(_relative(F.col("path"), path).alias("key"), "size_bytes", "sha256")
@@ -158,9 +161,11 @@ def write_json_values(documents: DataFrame, path: str, text: str) -> None:
     documents.select(F.col(text).alias("value")).write.text(path)
 
 
-def _objects(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+def _objects(spark: SparkSession, path: str, pattern: str, *columns: str | Column) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    return reader.option("pathGlobFilter", pattern).load(path)
+    with _listing(spark):
+        files = reader.option("pathGlobFilter", pattern).load(path)
+    return _bundled(files, *columns)
 
 
 @contextmanager

@@ -89,6 +89,15 @@ def test_small_documents_share_tasks(spark, many_objects):
     assert documents.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 2
 
 
+def test_small_objects_are_listed_in_shared_tasks(spark, many_objects):
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    listing = tables.object_listing(spark, many_objects, "*.txt")
+    sizes = {r.key: r.size_bytes for r in listing.collect()}
+    assert len(sizes) == 302 and sizes["repo=7/part-0.txt"] == 2 and sizes["repo=300/part-0.txt"] == 4 + tables.SMALL_BYTES
+    assert listing.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 2
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+
+
 def _written(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "t"))
     return str(tmp_path / "t")
