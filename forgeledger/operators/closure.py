@@ -11,6 +11,9 @@ from ..functions.versions import satisfies
 from ..session import durable, durable_counted
 from .deps import requirement_edges
 
+# A level is sent to every task, instead of exchanging all edges, while its places take no more than eight times as many bytes.
+SENT_NUMBERS = 1 << 20
+
 _SCHEMA = "package STRING, level BIGINT, requested_as STRING, version_spec STRING, status STRING, version STRING, place BINARY"
 
 
@@ -24,9 +27,13 @@ def resolve(roots: DataFrame, packages: DataFrame, edges: DataFrame | None = Non
 
     ``status`` is resolved, conflict (the latest version fails the requirement) or missing
     (no such package). Only resolved packages are followed further.
+
+    Tables on disk are many times smaller than in the driver's memory, so no join may be a broadcast because of a
+    table's size; only levels of a few rows, which are counted, are sent.
     """
     edges = durable(requirement_edges(packages) if edges is None else edges, "edges")
-    latest = packages.select(F.lower("name").alias("package"), "version")
+    # Read at every level, so made once.
+    latest = durable(packages.select(F.lower("name").alias("package"), "version"), "latest")
     place = F.to_binary(F.lpad(F.hex(F.col("ordinal").cast("long")), 16, "0"), F.lit("hex"))
     reached = roots.select(
         F.lower("name").alias("package"), F.col("name").alias("requested_as"), "version_spec", place.alias("place")
@@ -38,8 +45,8 @@ def resolve(roots: DataFrame, packages: DataFrame, edges: DataFrame | None = Non
             F.min_by(F.struct("requested_as", "version_spec", "place"), "place").alias("first")
         )
         if visited is not None:
-            first = first.join(visited.select("package"), "package", "left_anti")
-        offered = first.join(latest, "package", "left")
+            first = first.join(visited.select("package").hint("merge"), "package", "left_anti")
+        offered = first.join(latest.hint("merge"), "package", "left")
         ok = satisfies("version", F.coalesce("first.version_spec", F.lit("")))
         frontier = offered.select(
             "package",
@@ -59,8 +66,11 @@ def resolve(roots: DataFrame, packages: DataFrame, edges: DataFrame | None = Non
         step = F.to_binary(F.lpad(F.hex(F.col("edge_no").cast("long")), 16, "0"), F.lit("hex"))
         # Each package is in the frontier once; a hot package's edges are split by adaptive
         # execution, and the group above combines copies of a hot dependency before shuffling.
+        sent = found * (level + 8) <= SENT_NUMBERS
         reached = (
             frontier.where("status = 'resolved'")
+            .select("package", "place")
+            .hint("broadcast" if sent else "merge")
             .join(edges, "package")
             .select(
                 F.lower("name").alias("package"),

@@ -243,6 +243,26 @@ def test_first_requirement_wins_like_the_queue(spark):
     assert resolve(spark, roots, registry) == queue_walk(roots, registry)
 
 
+def test_joins_send_only_levels_that_are_counted(spark, monkeypatch):
+    """Small tables that Spark would broadcast stand for tables that are small on disk only."""
+    plans, counted = [], K.durable_counted
+
+    def seen(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return counted(df, *more)
+
+    monkeypatch.setattr(K, "durable_counted", seen)
+    rng = random.Random(3)
+    registry = {f"p{i}": (rng.randint(1, 9), [(f"p{2 * i + k}", f">={rng.randint(1, 5)}") for k in range(3)]) for i in range(1, 40)}
+    for numbers, sent in ((0, 0), (K.__dict__.get("SENT_NUMBERS", 0), 1)):
+        plans.clear()
+        monkeypatch.setattr(K, "SENT_NUMBERS", numbers, raising=False)
+        assert resolve(spark, [("p1", "")], registry) == queue_walk([("p1", "")], registry)
+        assert len(plans) > 4 and [p.count("BroadcastHashJoin") for p in plans] == [0] + [sent] * (len(plans) - 1)
+        # The packages are read once, before the first level.
+        assert not any(scan in p for p in plans[1:] for scan in ("LocalTableScan", "ExistingRDD"))
+
+
 def test_cycles_end(spark, rows):
     assert resolve(spark, [("a", "")], {"a": (1, [("b", "")]), "b": (1, [("a", ">=9")])}) == {"a": (0, "", "resolved"), "b": (1, "", "resolved")}
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "package int, needs int")
